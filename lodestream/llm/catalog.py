@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, repetition, splitting
+from . import bpe, history, repetition, splitting
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p2_found": history.p2_found,
         "p7_found": splitting.p7_found,
         "p7_pieces": splitting.p7_pieces,
         "p8_ids": p8_ids,
