@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, history, repetition, splitting
+from . import boilerplate, bpe, history, markup, repetition, splitting
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,9 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p2_found": history.p2_found,
+        "p4_found": boilerplate.p4_found,
+        "p5_found": markup.p5_found,
+        "p5_clean": markup.p5_clean,
         "p7_found": splitting.p7_found,
         "p7_pieces": splitting.p7_pieces,
         "p8_ids": p8_ids,
