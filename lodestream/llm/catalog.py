@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import boilerplate, bpe, history, markup, repetition, splitting
+from . import boilerplate, bpe, budget, history, markup, packing, repetition, splitting
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,13 @@ def queries() -> dict:
         "p4_found": boilerplate.p4_found,
         "p5_found": markup.p5_found,
         "p5_clean": markup.p5_clean,
+        "p6_budget": budget.p6_budget,
+        "p6_against_log": budget.p6_against_log,
         "p7_found": splitting.p7_found,
         "p7_pieces": splitting.p7_pieces,
         "p8_ids": p8_ids,
+        "p9_packing": packing.p9_packing,
+        "p9_filling": packing.p9_filling,
         "p10_found": repetition.p10_found,
         "p10_thresholds": repetition.p10_thresholds,
     }
