@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p7_found": splitting.P7_FOUND_SQL}
+    return {"p7_found": splitting.P7_FOUND_SQL, "p10_found": repetition.P10_FOUND_SQL}

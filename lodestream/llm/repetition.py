@@ -102,3 +102,12 @@ def p10_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and repetitive rows per language and source, with the cut-off used."""
     rows = repetitive(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
     return rows.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.count_if("is_repetitive").alias("n_repetitive"), F.max("threshold").alias("threshold"))
+
+
+P10_FOUND_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, i, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, g) AS first FROM g) WHERE i > first),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 5) AS t(k) GROUP BY 1)
+SELECT doc_id FROM c JOIN w USING (doc_id) WHERE n >= 0.3 * len(w)
+"""
