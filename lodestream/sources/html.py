@@ -158,8 +158,7 @@ def markdown(e: Element) -> str:
             return f"\n\n{inner(c).strip()}\n\n"
         return inner(c)
 
-    text = re.sub(r"[ \t]+", " ", inner(e))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n(?: +(?=\n))?", "\n", inner(e))).strip()
 
 
 def body(root: Element) -> str:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Fetch = Callable[[str], tuple[int, str, str | None]]  # url -> status, body, Retry-After
 
@@ -101,4 +102,4 @@ def complete(prompts: DataFrame, text: str, provider: Callable[[], Callable[[str
                     answers.append(None)
             yield b.assign(**{out: answers})
 
-    return prompts.mapInPandas(run, prompts.schema.add(out, "string"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField(out, T.StringType())]))

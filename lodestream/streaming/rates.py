@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,20 +25,22 @@ def stretches(df: DataFrame, keys: list[str], ts: str, gap: float) -> DataFrame:
 def _sequential(df: DataFrame, keys: list[str], ts: str, order: str, step) -> DataFrame:  # noqa: ANN001
     """Runs ``step`` over the rows of every stretch in order; a task reads sorted rows and holds the state of one stretch."""
     group = [*keys, "stretch"]
-    schema = T.StructType([*df.schema.fields, T.StructField("_us", T.LongType()), T.StructField("flag", T.BooleanType())])
+    kept = [f for f in df.schema.fields if f.name != "stretch"]
+    name = F.concat_ws("|", *[F.coalesce(F.concat(F.length(F.col(k).cast("string")), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in group])
+    rows = df.withColumns({"_us": F.unix_micros(ts), "_key": name}).repartition(*group).sortWithinPartitions("_key", "_us", order)
+    at = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state = None, None
         for b in batches:
             flags = []
-            for key, us in zip(zip(*[b[g] for g in group]), b["_us"]):
-                if key != at:
-                    at, state = key, deque()
-                flags.append(step(state, int(us)))
-            yield b.assign(flag=flags)
-
-    rows = df.withColumn("_us", F.unix_micros(ts)).repartition(*group).sortWithinPartitions(*group, "_us", order)
-    return rows.mapInPandas(run, schema).drop("_us", "stretch")
+            for key, us in zip(b.column("_key").to_pylist(), b.column("_us").to_pylist()):
+                if key != here:
+                    here, state = key, deque()
+                flags.append(step(state, us))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in at], pa.array(flags, pa.bool_())], names=[*at, "flag"])
+
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("flag", T.BooleanType())]))
 
 
 def rate_limited(df: DataFrame, keys: list[str], ts: str, order: str, limit: int, window: float = 60.0) -> DataFrame:
