@@ -252,7 +252,7 @@ def _guard(text: str) -> tuple[str, list[str]]:
 
 
 def _latex(text: str) -> str:
-    text = re.sub(r"\\(section|subsection|subsubsection|chapter|title)\*?\{([^{}]*)\}", lambda m: f"\n\n{'#' * (1 + m[1].count('sub'))} {m[2]}\n\n", text)
+    text = re.sub(r"\\(section|subsection|subsubsection|chapter|title)\*?\{([^{}]*)\}[ \t]*", lambda m: f"\n\n{'#' * (1 + m[1].count('sub'))} {m[2]}\n\n", text)
     text = re.sub(r"[ ~]?\\(?:cite[pt]?|ref|eqref|label)\{[^{}]*\}", "", text)
     text = re.sub(r"\\(?:emph|textbf|textit|texttt|textsc|underline|text|footnote|caption)\{([^{}]*)\}?", r"\1", text)
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}\n?", "", text)
@@ -293,9 +293,9 @@ def clean(text: str) -> tuple[list[str], str]:
     for name, rule in (("latex", _latex), ("wiki", _wiki), ("markdown", _markdown)):
         if name in found or name == "markdown" and "html" not in found:
             out = rule(out)
-    out = re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], out)
     out = re.sub(r"[ \t]+\n", "\n", re.sub(r"(?<=\S)[ \t]{2,}", " ", out))
-    return found, re.sub(r"\n{3,}", "\n\n", out).strip()
+    out = re.sub(r"\n{3,}", "\n\n", out).strip()
+    return found, re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], out)
 
 
 def strip_markup(df: DataFrame, text: str, out: str = "clean_text", kinds_out: str = "markup") -> DataFrame:
