@@ -58,12 +58,13 @@ class TimestampDictionary:
         blank = F.lit("")
         keyed = df.withColumns(
             {
-                names["raw"]: F.when(F.col(raw).rlike(r"\d"), F.col(raw)),
+                # texts without a digit denote nothing; they are spread by partition instead of meeting in one task
+                names["raw"]: F.when(F.col(raw).rlike(r"\d"), F.col(raw)).otherwise(F.concat(F.lit("\0"), F.spark_partition_id().cast("string"))),
                 names["tz"]: F.coalesce(F.col(tz), blank) if tz else blank,
                 names["date_order"]: F.coalesce(F.col(order), blank) if order else blank,
             }
         )
-        keys = keyed.select(*[F.col(v).alias(k) for k, v in names.items()]).where("raw is not null").distinct()
+        keys = keyed.select(*[F.col(v).alias(k) for k, v in names.items()]).where(~F.col("raw").startswith("\0")).distinct()
         if self.parts:
             keys = keys.join(self.entries().select("raw", "tz", "date_order"), ["raw", "tz", "date_order"], "left_anti")
         part = f"{self.root.rstrip('/')}/part-{len(self.parts):06d}"

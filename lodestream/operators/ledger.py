@@ -33,10 +33,11 @@ class Lease:
 
 
 class WorkLedger:
-    """A ledger stored below ``root``; ``units`` bounds the units of one generation."""
+    """A ledger stored below ``root``; ``units`` bounds the units of one generation (else the shuffle partitions do)."""
 
-    def __init__(self, spark: SparkSession, root: str, units: int = 24, lease_seconds: float = 900.0, clock: Callable[[], float] = time.time):
-        self.spark, self.root, self.units, self.lease_seconds, self.clock = spark, root.rstrip("/"), units, lease_seconds, clock
+    def __init__(self, spark: SparkSession, root: str, units: int | None = None, lease_seconds: float = 900.0, clock: Callable[[], float] = time.time):
+        self.spark, self.root, self.lease_seconds, self.clock = spark, root.rstrip("/"), lease_seconds, clock
+        self.units = units or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -537,11 +537,26 @@ def ttl_cache(spark: SparkSession, sf: str) -> DataFrame:
     return rates.cached(e, ["user_id", "event_type"], "ts", "event_id", 21600.0).select("event_id", "hit")
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER - 1 AS place, count(*) OVER (PARTITION BY source) AS of_source FROM documents")
-def place_in_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Position of every document within its source, from 0, and the source's size."""
-    w = Window.partitionBy("source")
-    return table(spark, sf, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("place"), F.count("*").over(w).alias("of_source"))
+@query(
+    """SELECT update_id, round(least(3.0::DOUBLE, CASE WHEN crawled_at IS NULL THEN 0.2::DOUBLE ELSE 1.0::DOUBLE / (1 + date_diff('day', crawled_at, TIMESTAMPTZ '2025-07-01 00:00:00+00') / 90.0::DOUBLE) END
++ CASE WHEN lower(source_type) = 'azure-update' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + (CASE WHEN title <> '' THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN summary <> '' THEN 0.5::DOUBLE ELSE 0 END)), 6) AS quality FROM azure_updates"""
+)
+def quality_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Recency, authority and completeness of every update, at most 3 (as of a fixed day)."""
+    day = F.lit("2025-07-01 00:00:00+00:00").cast("timestamp")
+    recency = F.coalesce(1.0 / (1 + F.datediff(day, "crawled_at") / F.lit(90.0)), F.lit(0.2))
+    authority = F.when(F.lower("source_type") == "azure-update", 1.0).otherwise(0.5)
+    complete = F.when(F.col("title") != "", 0.5).otherwise(0.0) + F.when(F.col("summary") != "", 0.5).otherwise(0.0)
+    return table(spark, sf, "azure_updates").select("update_id", F.round(F.least(F.lit(3.0), recency + authority + complete), 6).alias("quality"))
+
+
+@query()
+def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
+    """One run of the whole pipeline over all sources: counters by source type."""
+    from ..session import fresh_dir
+    from . import pipeline
+
+    return pipeline.ingest(spark, pipeline.sources(spark, sf), fresh_dir(spark, "ingest")).counters
 
 
 # -- extensions on the star schema (not part of the reference) ------------------------------

@@ -12,14 +12,24 @@ from pyspark.sql import types as T
 
 
 def stretches(df: DataFrame, keys: list[str], ts: str, gap: float) -> DataFrame:
-    """``df`` with ``stretch``: a silence of at least ``gap`` seconds within a key begins a new one.
+    """``df`` with ``stretch``: numbers runs of a key's events between which at least ``gap`` seconds pass without one.
 
     State of a window or lifetime of ``gap`` seconds never reaches across such
     a silence, so stretches can be worked on apart and a hot key is split.
+    Time is cut into slots of ``gap``; an empty slot ends a run.  Only the
+    distinct slots of a key are ordered, so what one key costs depends on the
+    time it covers and not on its number of events.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, *[c for c in df.columns if c not in (*keys, ts)][:1])
-    fresh = F.coalesce((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) >= gap * 1e6).cast("int"), F.lit(0))
-    return df.withColumn("_fresh", fresh).withColumn("stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    width = int(gap * 1e6)
+    rows = df.withColumn("_slot", F.floor(F.unix_micros(ts) / F.lit(width)))
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    runs = rows.select(*keys, "_slot").distinct().withColumn("stretch", F.col("_slot") - F.row_number().over(w))
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    runs = runs.withColumnsRenamed(names).withColumnRenamed("_slot", "_slot2")
+    same = F.col("_slot") == F.col("_slot2")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(runs, same).drop("_slot", "_slot2", *names.values())
 
 
 def _sequential(df: DataFrame, keys: list[str], ts: str, order: str, step) -> DataFrame:  # noqa: ANN001
@@ -106,3 +116,33 @@ def upsert_batches(stream: DataFrame, root: str, key: str, order: list[str], che
         write_version(incoming, root, number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rate_limited_stream(stream: DataFrame, key: str, ts: str, limit: int, window: float = 60.0) -> DataFrame:
+    """Streaming twin of ``rate_limited``: (key, ts, allowed); the state of a key is its last allowed times and leaves once the watermark has passed the window."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    span = int(window * 1e6)
+    kind = stream.schema[key].dataType.simpleString()
+
+    def each(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0]) if state.exists else deque()
+        times = pd.concat(list(batches))[ts].sort_values()
+        flags = []
+        for t in times:
+            us = int(t.value // 1000)
+            while kept and kept[0] <= us - span:
+                kept.popleft()
+            flags.append(len(kept) < limit)
+            if flags[-1]:
+                kept.append(us)
+        state.update((list(kept),))
+        last = (kept[-1] if kept else int(times.max().value // 1000)) // 1000 + int(window * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]] * len(times), ts: times.to_numpy(), "allowed": flags})
+
+    return stream.withWatermark(ts, f"{window} seconds").groupBy(key).applyInPandasWithState(each, f"{key} {kind}, {ts} timestamp, allowed boolean", "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
