@@ -145,3 +145,18 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+def expand(terms: Column, synonyms: dict[str, list[str]]) -> Column:
+    """Terms with the synonyms of each behind it, each once."""
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), none)))))
+
+
+def matches_glob(key: Column, glob: str) -> Column:
+    """Whether a key matches a pattern with ``*`` and ``?`` (for dropping cached entries)."""
+    import re
+
+    pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
+    return key.rlike(f"(?s)^{pattern}$")

@@ -235,3 +235,11 @@ def plain_transcript(text: str, title: str, most: int = 512) -> list[str]:
                 fill.add(para, size)
     fill.close()
     return [f"{title}\n\n{g}" for g in fill.groups]
+
+
+def parents_and_children(df: DataFrame, key: str, text: str, parent: int = 1024, child: int = 256) -> DataFrame:
+    """(key, parent_no, child_no, content): blocks of ``child`` words, numbered within their parent of ``parent`` words (a multiple)."""
+    w = df.select(F.col(key), X.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    at = w.select(key, "_w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("_w") / F.lit(child)).cast("int") - 1)).alias("_i"))
+    per = parent // child
+    return at.select(key, F.floor(F.col("_i") / per).cast("int").alias("parent_no"), (F.col("_i") % per).alias("child_no"), F.array_join(F.slice("_w", F.col("_i") * child + 1, F.lit(child)), " ").alias("content"))

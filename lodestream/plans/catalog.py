@@ -77,6 +77,22 @@ def chunk_atomic(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_whole(table(spark, sf, "azure_updates"), "url", "summary")
 
 
+@query(
+    f"""WITH w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, (len(w) + 255) // 256)) AS i FROM w WHERE len(w) > 0)
+SELECT doc_id, (i // 4)::INTEGER AS parent_no, (i % 4)::INTEGER AS child_no, array_to_string(w[i * 256 + 1 : i * 256 + 256], ' ') AS content FROM b"""
+)
+def chunk_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels of blocks: small ones to search, large ones to read."""
+    return chunking.parents_and_children(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("SELECT count(*) FILTER (WHERE regexp_full_match(chunk_id, 'a.*')) AS dropped, count(*) FILTER (WHERE NOT regexp_full_match(chunk_id, 'a.*')) AS kept FROM chunk_fingerprints")
+def cache_invalidate(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries a pattern drops and keeps."""
+    hit = X.matches_glob(F.col("chunk_id"), "a*")
+    return table(spark, sf, "chunk_fingerprints").agg(F.count_if(hit).alias("dropped"), F.count_if(~hit).alias("kept"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Post bodies by heading, paragraph and sentence."""

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Elements, ids and classes that hold no content.
-NOISE_TAGS = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "svg", "button"}
-NOISE_IDS = {"ms--feedback", "feedback", "sidebar", "toc", "cookie-banner"}
-NOISE_CLASSES = {"feedback", "breadcrumb", "sidebar", "toc", "cookie", "banner", "advert", "ad", "share", "pagination"}
+NOISE_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form", "button", "svg", "figure"}
+NOISE_IDS = {"band-nav", "ms-banner", "uhf-header", "uhf-footer", "locale-selector"}
+NOISE_CLASSES = {
+    "breadcrumb", "feedback-section", "is-hidden-mobile", "action-container", "doc-feedback", "contribution", "page-action-holder",
+    "learn-header", "learn-footer", "toc-toggle",
+}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "source", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -106,8 +109,7 @@ def breadcrumb(root: Element) -> list[str]:
             continue
         for d in data if isinstance(data, list) else [data]:
             if isinstance(d, dict) and d.get("@type") == "BreadcrumbList":
-                items = sorted((i for i in d.get("itemListElement", []) if isinstance(i, dict)), key=lambda i: i.get("position", 0))
-                return [i.get("name") or (i.get("item") or {}).get("name", "") for i in items]
+                return [i["name"].strip() for i in d.get("itemListElement", []) if isinstance(i, dict) and i.get("name")]
     nav = _first(root, lambda e: e.name == "nav" and "breadcrumb" in e.attrs.get("aria-label", "").lower(), lambda e: e.name == "ol" and "breadcrumb" in e.attrs.get("class", ""))
     return [a.text() for a in nav.find(_named("a", "li")) if a.text()] if nav else []
 
@@ -150,8 +152,7 @@ def markdown(e: Element) -> str:
             body = inner(c).strip()
             return f"{wrap}{body}{wrap}" if body else ""
         if c.name == "li":
-            mark = f"{1 + [x for x in c.parent.items if isinstance(x, Element) and x.name == 'li'].index(c)}." if c.parent and c.parent.name == "ol" else "-"
-            return f"\n{mark} {inner(c).strip()}"
+            return f"\n- {inner(c).strip()}"
         if c.name == "tr":
             return "\n| " + " | ".join(inner(x).strip() for x in c.items if isinstance(x, Element)) + " |"
         if c.name in ("p", "div", "section", "article", "ul", "ol", "table", "blockquote", "main"):
@@ -163,8 +164,8 @@ def markdown(e: Element) -> str:
 
 def body(root: Element) -> str:
     """Markdown of the main element, without its h1."""
-    main = _first(root, _named("main"), lambda e: e.attrs.get("id") == "main-content", _named("article"), lambda e: "content" in e.attrs.get("class", ""), _named("body")) or root
-    for h in list(main.find(_named("h1"))):
+    main = _first(root, _named("main"), lambda e: e.name == "div" and e.attrs.get("id") == "main-content", _named("article"), lambda e: e.name == "div" and re.search("content|article|doc", e.attrs.get("class", ""), re.I), _named("body")) or root
+    if (h := _first(main, _named("h1"))) is not None:
         h.parent.items.remove(h)
     return markdown(main)
 

@@ -91,3 +91,9 @@ def test_names_and_keys(spark):
     df = spark.createDataFrame([("power bi and Power BI, onelake", "What  IS\n new ")], "t string, q string")
     r = df.select(X.mentioned(F.col("t"), ["OneLake", "Power BI"]), X.normal_query(F.col("q")), X.display_name(F.lit("tech-community")), X.normal_url(F.lit("https://h.example/a/b/?q=1#f"))).head()
     assert (list(r[0]), r[1], r[2], r[3]) == (["Power BI", "OneLake"], "what is new", "Tech Community", "https://h.example/en-us/a/b")
+
+
+def test_synonyms_and_globs(spark):
+    df = spark.createDataFrame([(["ml", "x", "ai"], "a.b:c"), ([], "axb:c"), (None, None)], "t array<string>, k string")
+    got = df.select(X.expand(F.col("t"), {"ml": ["machine learning", "ai"]}), X.matches_glob(F.col("k"), "a.*:?")).collect()
+    assert [r[0] for r in got] == [["ml", "machine learning", "ai", "x"], [], None] and [r[1] for r in got] == [True, False, None]

@@ -65,6 +65,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.k: r.n for r in index.latest(spark.read.parquet(src), "k", ["n"]).collect()}
 
 
+def test_stream_drops_repeats(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    rows = [(1, T0), (1, T0), (2, T0 + timedelta(seconds=5))]
+    spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.parquet(src)
+    stream = rates.new_events(spark.readStream.schema("id long, ts timestamp").parquet(src), "ts", ["id"], "1 hour")
+    q = stream.writeStream.format("memory").queryName("fresh").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.id for r in spark.table("fresh").collect()) == [1, 2]
+    assert rates.new_events(spark.read.parquet(src), "ts", ["id"], "1 hour").count() == 2
+
+
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red apple pie"), (2, "apple apple"), (3, None), (4, ""), (5, "green tea")], "id long, t string")
     qs = spark.createDataFrame([(1, "Apple?"), (2, "nothing"), (3, None)], "q long, s string")
@@ -79,7 +90,7 @@ def test_retrieval(spark):
 
 
 PAGE = """<html><head><title>Page | Site</title><meta name='ms.date' content='2024-05-01'>
-<script type='application/ld+json'>{"@type": "BreadcrumbList", "itemListElement": [{"position": 2, "name": "B"}, {"position": 1, "name": "A"}]}</script></head>
+<script type='application/ld+json'>{"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "A"}, {"position": 2, "name": "B"}]}</script></head>
 <body><nav><a href='/nav'>n</a></nav><main><h1>Heading</h1><p>Some <b>bold <a href='../x/y/?q=1#f'>text</a></b> with enough length to stay here.
 <ul><li>one<li>two</ul><pre>a  = 1</pre><table><tr><th>h</th><th>k</th></tr></table></main><footer>foot</footer></body></html>"""
 
