@@ -143,7 +143,7 @@ def places(plans: dict[str, Plan]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["container", "size", "first_rank", "n_ranks", "per_container", "first_no", "offset"])
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacities: dict[str, int], buckets: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacities: dict[str, int], buckets: int | None = None) -> DataFrame:
     """(container, container_no, ``key``, piece_no, from_token, n_tokens, at_token) of every piece of every text.
 
     A text is divided only if it alone exceeds the capacity: into full pieces
@@ -151,6 +151,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[str, int], buck
     placed.  Pieces of one container follow one another from ``at_token``.
     Repeated keys are packed as separate texts.  Containers are numbered from 0.
     """
+    buckets = buckets or max(64, 4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in capacities.items()])
     rows = sizes.select(F.col(key).alias("key"), F.col(size).alias("total")).where("total > 0").select("key", "total", F.inline(names))
     pieces = rows.select("container", "capacity", "key", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / F.col("capacity")))).alias("piece_no"))
