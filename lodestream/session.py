@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -63,9 +62,3 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are stored; they go once the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
