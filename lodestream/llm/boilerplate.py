@@ -5,12 +5,14 @@ page (body, aside), the kind of block and the shape of the line.  Text length
 and punctuation are summed per path over all pages; a path's ratio tells prose
 from furniture, is smoothed along the page over neighbours of the same sort, fused with the raw ratio and held
 against a threshold.  Headings, lists, tables and code are content whatever
-their ratio.
+their ratio.  A line that no phrase matches is furniture if it stands at the
+top or the end of its page and is repeated over many pages of the corpus.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,8 +106,14 @@ def tag(line: str) -> str:
     return ""
 
 
-def nodes(body: str, title: str | None) -> list[tuple[int, str, int, int]]:
-    """(line_no, path, text length, punctuation marks) of every non-blank line.
+def line_key(line: str) -> int:
+    """Number of a line by its text in lower case, digits being equal."""
+    low = re.sub(r"\d+", "0", line.lower()).encode()
+    return zlib.crc32(low) << 20 | len(low) & 0xFFFFF
+
+
+def nodes(body: str, title: str | None) -> list[tuple[int, str, int, int, int | None]]:
+    """(line_no, path, text length, punctuation marks, key of its text) of every non-blank line; only prose and short lines have a key.
 
     Lines below a sidebar heading belong to the aside as long as they look like
     its links: a list of tags, a marked entry, or a short line without final
@@ -150,21 +158,41 @@ def nodes(body: str, title: str | None) -> list[tuple[int, str, int, int]]:
                 else:
                     kind = "short"
         shape = "long" if len(s) > 100 else "mid" if len(s) > 40 else "brief"
-        out.append((number, f"{kind}/{shape}", len(s), len(re.findall(r"[.,;:?!]", s))))
+        out.append((number, f"{kind}/{shape}", len(s), len(re.findall(r"[.,;:?!]", s)), line_key(s) if kind in ("prose", "short") else None))
     return out
 
 
 #: Kinds that furniture is known by; the ratio of their paths is discounted by KNOWN before the fusion.
 KNOWN = 0.02
-FURNITURE = {"nav", "crumb", "consent", "share", "signup", "foot", "aside"}
+FURNITURE = {"nav", "crumb", "consent", "share", "signup", "foot", "aside", "repeated"}
+#: A line is repeated if it stands on so many pages of different titles, and on this share of all pages.
+REPEATED, REPEATED_SHARE = 5, 0.005
+
+
+def at_edges(rows: list[tuple[int, str, int, int, int | None]], kinds: list[str], repeated: set[int]) -> list[int]:
+    """Places of the repeated lines that only furniture or other repeated lines part from the top or the end of the page."""
+    def outer(i: int) -> bool:
+        return kinds[i] in FURNITURE or rows[i][1].startswith("aside/") or rows[i][4] in repeated
 
+    n = len(rows)
+    top = next((i for i in range(n) if not outer(i)), n)
+    if top == n:  # nothing else on the page
+        return []
+    end = next(i for i in range(n, 0, -1) if not outer(i - 1))
+    # a short line next to content may be its heading (or one with nothing below)
+    head = top - (top > 0 and kinds[top - 1] == "short" and kinds[top] not in ("title", "heading"))
+    end += end < n and kinds[end] == "short"
+    return [i for i in (*range(head), *range(end, n)) if rows[i][4] in repeated]
 
-def furniture(rows: list[tuple[int, str, int, int]], ratio: dict[str, float], threshold: float) -> list[int]:
+
+def furniture(rows: list[tuple[int, str, int, int, int | None]], ratio: dict[str, float], threshold: float, repeated: set[int] = frozenset()) -> list[int]:
     """Line numbers of the nodes whose fused score stays below the threshold."""
-    kinds = [path.split("/")[0] for _, path, _, _ in rows]
+    kinds = [r[1].split("/")[0] for r in rows]
+    for i in at_edges(rows, kinds, repeated):
+        kinds[i] = "repeated"
     raw = [ratio.get(r[1], 0.0) * (KNOWN if k in FURNITURE else 1.0) for r, k in zip(rows, kinds)]
     out = []
-    for i, (number, _, _, _) in enumerate(rows):
+    for i, (number, *_) in enumerate(rows):
         if kinds[i] in STRUCTURE:
             continue
         near = [x for x, k in zip(raw[max(0, i - 1) : i + 2], kinds[max(0, i - 1) : i + 2]) if (k in FURNITURE) == (kinds[i] in FURNITURE)]
@@ -173,21 +201,22 @@ def furniture(rows: list[tuple[int, str, int, int]], ratio: dict[str, float], th
     return out
 
 
-NODES = "array<struct<line_no:int,path:string,size:int,marks:int>>"
+NODES = "array<struct<line_no:int,path:string,size:int,marks:int,key:bigint>>"
 
 
 def page_nodes(df: DataFrame, body: str, title: str, keys: list[str]) -> DataFrame:
-    """``keys`` and the nodes of every page; null and blank bodies have none."""
+    """``keys``, a number of the page by its title (its body, where it has none), and the nodes of every page; null and blank bodies have none."""
     rows = df.select(*keys, body, title)
-    names = [*keys, "nodes"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]) + f", nodes {NODES}"
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("path", pa.string()), ("size", pa.int32()), ("marks", pa.int32())]))
+    names = [*keys, "_page", "nodes"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]) + f", _page bigint, nodes {NODES}"
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("path", pa.string()), ("size", pa.int32()), ("marks", pa.int32()), ("key", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(keys)
-            found = [[dict(zip(("line_no", "path", "size", "marks"), x)) for x in nodes(t, h)] if t else [] for t, h in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], names=names)
+            found = [[dict(zip(("line_no", "path", "size", "marks", "key"), x)) for x in nodes(t, h)] if t else [] for t, h in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+            page = [zlib.crc32((h or t or "").encode()) for t, h in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(page, pa.int64()), pa.array(found, kind)], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -199,6 +228,13 @@ def path_ratios(pages: DataFrame) -> DataFrame:
     return agg.select("path", "n", (F.col("size") / F.col("n")).alias("mean_length"), (100 * F.col("marks") / F.col("size")).alias("mark_rate")).withColumn("ratio", F.log1p("mean_length") * (1 + F.col("mark_rate")))
 
 
+def repeated_lines(pages: DataFrame) -> set[int]:
+    """Keys of the lines repeated over pages; as each stands on a least share of all pages, there are few."""
+    least = max(REPEATED, REPEATED_SHARE * pages.agg(F.countDistinct("_page")).head()[0])
+    lines = pages.select("_page", F.inline("nodes")).where("key is not null").select("key", "_page").distinct()
+    return {r["key"] for r in lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+
+
 def boilerplate_lines(df: DataFrame, body: str, title: str, keys: list[str], threshold: float = 1.0) -> DataFrame:
     """``keys`` and line_no (from 0, over the pieces between line feeds) of every line that isn't the page's own content.
 
@@ -208,13 +244,14 @@ def boilerplate_lines(df: DataFrame, body: str, title: str, keys: list[str], thr
     """
     pages = cut(page_nodes(df, body, title, keys))
     ratio = {r["path"]: r["ratio"] for r in path_ratios(pages).collect()}
+    repeated = repeated_lines(pages)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields[: len(keys)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(len(keys)).to_pylist()
-            lines = [furniture([(r["line_no"], r["path"], r["size"], r["marks"]) for r in page], ratio, threshold) for page in rows]
+            rows = b.column(len(keys) + 1).to_pylist()
+            lines = [furniture([(r["line_no"], r["path"], r["size"], r["marks"], r["key"]) for r in page], ratio, threshold, repeated) for page in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(lines, pa.list_(pa.int32()))], names=[*keys, "lines"])
 
     return pages.mapInArrow(judge, f"{fields}, lines array<int>").select(*keys, F.explode("lines").alias("line_no"))

@@ -99,3 +99,10 @@ def test_found_queries(spark, sf):
     got = B.p4_found(spark, sf).collect()
     assert got and len(got) == len(set(got)) and all(bodies[r.tab, r.rec_id].split("\n")[r.line_no].strip() for r in got)
     assert M.p5_found(spark, sf).count() > 0
+
+
+def test_unlisted_lines_repeated_at_the_edges_go(spark):
+    top, foot = "Zurück zur Zentrale der Werkstatt", "Our garden of words is tended by volunteers, day and night, since 1998."
+    rows = [(i, f"{top}\nTitle {i}\nSummary\nText number {'abcdefgh'[i] * 4}, with a comma, and more.\nKnown issues\nNothing {'abcdefgh'[i] * 3} is known so far.\n{foot}", f"Title {i}") for i in range(8)]
+    got = {(r.rec_id, r.line_no) for r in B.boilerplate_lines(spark.createDataFrame(rows, "rec_id long, body_text string, title string"), "body_text", "title", ["rec_id"]).collect()}
+    assert got == {(i, n) for i in range(8) for n in (0, 6)}
