@@ -2,7 +2,9 @@
 
 HTML is read into a tree.  Paragraphs pass points for length and commas to
 their parents and grandparents, discounted by the share of link text; the best
-container and those siblings that read like content are kept.
+container is kept, and of what lies beside it and its ancestors whatever has a
+share of its points or reads like a paragraph; the rest is dropped.  Whether a
+text holds HTML is told by what the parser met.
 """
 
 from __future__ import annotations
@@ -38,8 +40,6 @@ COMMANDS = (
 ).split()
 
 _NAME = "|".join(sorted(TAGS, key=len, reverse=True))
-_TAG = re.compile(rf"</?(?:{_NAME})(?:\s[^<>]*)?/?>|<!--|<!\[CDATA\[|<!DOCTYPE|<(?:{_NAME})\s+[a-z-]+\s*=", re.I)
-_CUT_TAG = re.compile(rf"</?(?:{_NAME})$", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([a-zA-Z][a-zA-Z0-9]{1,30}));")
 _MARKDOWN = [
     re.compile(r"^ {0,3}#{1,6} +\S", re.M),
@@ -79,10 +79,7 @@ _LATEX = [
 
 def kinds(text: str) -> list[str]:
     """Which of html, markdown, wiki and latex the text holds."""
-    out = []
-    entity = any(m[1] is None or f"{m[1]};" in html5 for m in _ENTITY.finditer(text))
-    if _TAG.search(text) or entity or _CUT_TAG.search(text):
-        out.append("html")
+    out = ["html"] if ("<" in text or "&" in text) and parsed(text).met else []
     for name, patterns in (("markdown", _MARKDOWN), ("wiki", _WIKI), ("latex", _LATEX)):
         if any(p.search(text) for p in patterns):
             out.append(name)
@@ -90,33 +87,47 @@ def kinds(text: str) -> list[str]:
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "points")
+    """An element; ``size`` and ``linked`` are the characters of its text and of those in links, once ``_measure`` has run."""
+
+    __slots__ = ("name", "parent", "children", "points", "size", "linked")
 
     def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.children, self.points = name, parent, [], 0.0
+        self.name, self.parent, self.children, self.points, self.size, self.linked = name, parent, [], 0.0, 0, 0
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.name not in SILENT)
+        out, stack = [], [self]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.name not in SILENT or c is self:
+                stack.extend(reversed(c.children))
+        return "".join(out)
 
-    def links(self) -> int:
-        return sum(len(c.text()) if c.name == "a" else c.links() for c in self.children if isinstance(c, Node))
+    def density(self) -> float:
+        return self.linked / self.size if self.size else 0.0
 
 
 class _Tree(HTMLParser):
-    """A forgiving tree builder: paragraphs, items, rows and cells close the open one of their kind; depth is bounded."""
+    """A forgiving tree builder: paragraphs, items, rows and cells close the open one of their kind; ``met`` counts tags, references and declarations."""
 
     CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-    DEPTH = 200
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.root = self.at = Node("root", None)
-        self.depth = 0
+        self.open: dict[str, int] = {}
+        self.met = 0
+
+    def _leave(self) -> None:
+        self.open[self.at.name] -= 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.met += 1
         closes = self.CLOSES.get(tag, {"p"} if tag in BLOCK else set())
         while self.at.name in closes and self.at.parent:
-            self.at, self.depth = self.at.parent, self.depth - 1
+            self._leave()
         if tag == "img":
             alt = dict(attrs).get("alt")
             if alt:
@@ -124,56 +135,96 @@ class _Tree(HTMLParser):
             return
         node = Node(tag, self.at)
         self.at.children.append(node)
-        if tag not in VOID and self.depth < self.DEPTH:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in VOID:
+            self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.at
-        steps = 0
-        while node and node.name != tag:
-            node, steps = node.parent, steps + 1
-        if node and node.parent:
-            self.at, self.depth = node.parent, self.depth - steps - 1
+        self.met += 1
+        if self.open.get(tag):
+            while self.at.name != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def handle_charref(self, name: str) -> None:
+        self.met += 1
+        self.at.children.append(unescape(f"&#{name};"))
+
+    def handle_entityref(self, name: str) -> None:
+        known = f"{name};" in html5
+        self.met += known
+        self.at.children.append(unescape(f"&{name};") if known else f"&{name}")
+
+    def handle_comment(self, data: str) -> None:
+        self.met += 1
+
+    def handle_decl(self, decl: str) -> None:
+        self.met += 1
+
     def unknown_decl(self, data: str) -> None:
+        self.met += 1
         self.at.children.append(data.removeprefix("CDATA["))
 
 
-def _score(root: Node) -> Node:
-    """Give points upwards and return the best container."""
-    best, stack, seen = root, [root], []
+def _measure(root: Node) -> list[Node]:
+    """All nodes, parents first, with the sizes of their texts."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
         for c in node.children:
-            if isinstance(c, Node):
-                stack.append(c)
-        seen.append(node)
+            if isinstance(c, str):
+                node.size += len(c)
+            elif c.name not in SILENT:
+                node.size += c.size
+                node.linked += c.size if c.name == "a" else c.linked
+    return order
+
+
+#: What gives points, and what is read by itself beside the best container.
+SCORED = ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
+#: Share of the best container's points that a container beside it must have, link density a paragraph may have.
+SHARE, LINKED = 0.2, 0.5
+
+
+def _score(root: Node) -> Node:
+    """Give points upwards and return the best container."""
+    seen = _measure(root)
     touched = set()
     for node in seen:
-        if node.name in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if node.name in SCORED and node.parent is not None:
             t = node.text().strip()
-            if len(t) < 10 or node.parent is None:
+            if len(t) < 10:
                 continue
             points = 1 + t.count(",") + min(len(t) / 100, 3)
-            node.parent.points += points
-            touched.add(node.parent)
-            if node.parent.parent:
-                node.parent.parent.points += points / 2
-                touched.add(node.parent.parent)
+            for up, share in ((node.parent, 1.0), (node.parent.parent, 0.5)):
+                if up:
+                    up.points += points * share
+                    touched.add(up)
+    best = root
     for node in seen:
         if node in touched:
-            size = len(node.text())
-            node.points *= 1 - (node.links() / size if size else 0)
+            node.points *= 1 - node.density()
             if node.points > best.points:
                 best = node
     return best
 
 
+def _reads(node: Node, best: Node) -> bool:
+    """Whether what lies beside the best container is content: enough points, or a paragraph or phrase with little link text."""
+    if node.points >= SHARE * best.points > 0:
+        return True
+    whole = node.name in SCORED or node.name in ("table", "thead", "tbody", "tfoot", "tr", "figure", "figcaption", "caption") or node.name not in BLOCK
+    return whole and node.density() <= LINKED or node.size <= 25 and node.name not in BLOCK
+
+
 def _keep(best: Node) -> list[Node | str]:
-    """The best container's surroundings: at every level up to the root those siblings that read like content."""
+    """The best container within its ancestors, with what beside it or them is content."""
     kept: list[Node | str] = [best]
     node = best
     while node.parent:
@@ -181,57 +232,66 @@ def _keep(best: Node) -> list[Node | str]:
         for c in node.parent.children:
             if c is node:
                 row += kept
-            elif isinstance(c, str):
-                row.append(c)
-            else:
-                size = len(c.text().strip())
-                dense = c.links() / size if size else 0
-                if c.name in ("nav", "footer", "aside", "form") or size > 25 and dense > 0.6 and c.name in BLOCK:
-                    continue
+            elif isinstance(c, str) or _reads(c, best):
                 row.append(c)
         kept, node = row, node.parent
     return kept
 
 
-def _render(parts: list[Node | str], pre: bool = False) -> str:
-    out: list[str] = []
-    for c in parts:
-        if isinstance(c, str):
-            out.append(c if pre else re.sub(r"\s+", " ", c))
-        elif c.name in SILENT:
-            continue
-        elif c.name in ("br", "hr"):
-            out.append("\n")
-        elif c.name[0] == "h" and c.name[1:].isdigit():
-            out.append(f"\n\n{'#' * int(c.name[1:])} {_render(c.children).strip()}\n\n")
-        elif c.name == "li":
-            out.append(f"\n- {_render(c.children).strip()}")
+def _render(parts: list[Node | str]) -> str:
+    """Text of the nodes; blocks become paragraphs, headings, items, rows and fences.  The stack holds (what is left, its wrapping), so any depth is rendered."""
+    out: list[list[str]] = [[]]
+    stack: list[tuple[Iterator, str]] = [(iter(parts), "")]
+    while stack:
+        c = next(stack[-1][0], None)
+        if c is None:
+            name, inner = stack.pop()[1], "".join(out.pop())
+            if not out:
+                return inner
+            out[-1].append(_wrap(name, inner))
+        elif isinstance(c, str):
+            out[-1].append(re.sub(r"\s+", " ", c))
         elif c.name == "pre":
-            out.append(f"\n\n```\n{c.text().strip(chr(10))}\n```\n\n")
-        elif c.name in ("code", "tt", "kbd", "samp") and not pre:
-            out.append(f"`{_render(c.children).strip()}`")
-        elif c.name in ("td", "th"):
-            out.append(f" {_render(c.children).strip()} |")
-        elif c.name == "tr":
-            out.append(f"\n|{_render(c.children)}")
-        elif c.name in BLOCK:
-            out.append(f"\n\n{_render(c.children)}\n\n")
-        else:
-            out.append(_render(c.children, pre))
-    return "".join(out)
-
-
-def _html(text: str) -> str:
+            out[-1].append(f"\n\n```\n{c.text().strip(chr(10))}\n```\n\n")
+        elif c.name in ("br", "hr"):
+            out[-1].append("\n")
+        elif c.name not in SILENT:
+            stack.append((iter(c.children), c.name))
+            out.append([])
+    return ""
+
+
+def _wrap(name: str, inner: str) -> str:
+    if name[0] == "h" and name[1:].isdigit():
+        return f"\n\n{'#' * int(name[1:])} {inner.strip()}\n\n"
+    if name == "li":
+        return f"\n- {inner.strip()}"
+    if name in ("code", "tt", "kbd", "samp"):
+        return f"`{inner.strip()}`"
+    if name in ("td", "th"):
+        return f" {inner.strip()} |"
+    if name == "tr":
+        return f"\n|{inner}"
+    return f"\n\n{inner}\n\n" if name in BLOCK else inner
+
+
+def parsed(text: str) -> _Tree:
+    """The tree of a text; angle brackets that belong to no known element are ordinary signs."""
     if re.search(rf"&lt;/?(?:{_NAME})\b", text, re.I):
         text = unescape(text)
-    text = re.sub(r"<!\[CDATA\[(.*?)(?:\]\]>|$)", r"\1", text, flags=re.S)
+    text = re.sub(r"<!\[CDATA\[(.*?)(?:\]\]>|$)", r"<!---->\1", text, flags=re.S)
     tree = _Tree()
-    # a tag cut off at the end of the text is dropped; other angle brackets are ordinary signs
-    text = re.sub(rf"</?(?:{_NAME})\b[^<>]*$", "", text, flags=re.I)
-    text = re.sub(rf"<(?!/?(?:{_NAME})(?:[\s/>])|!--)", "&lt;", text, flags=re.I)
+    # a tag cut off at the end of the text is dropped
+    text, cut = re.subn(rf"</?(?:{_NAME})(?:\s[^<>]*)?$", "", text, flags=re.I)
+    text = re.sub(rf"<(?!/?(?:{_NAME})(?:\s[^<>]*)?/?>|!--|!DOCTYPE)", "\x01", text, flags=re.I)
     tree.feed(text)
     tree.close()
-    out = _render(_keep(_score(tree.root)))
+    tree.met += cut
+    return tree
+
+
+def _html(text: str) -> str:
+    out = _render(_keep(_score(parsed(text).root))).replace("\x01", "<")
     return unescape(out) if _ENTITY.search(out) else out
 
 
