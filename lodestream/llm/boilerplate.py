@@ -1,12 +1,15 @@
-"""Separating the body of a page from what surrounds it.
-
-Pages come as lines.  Each line is a node with a tag path: the region of the
-page (body, aside), the kind of block and the shape of the line.  Text length
-and punctuation are summed per path over all pages; a path's ratio tells prose
-from furniture, is smoothed along the page over neighbours of the same sort, fused with the raw ratio and held
-against a threshold.  Headings, lists, tables and code are content whatever
-their ratio.  A line that no phrase matches is furniture if it stands at the
-top or the end of its page and is repeated over many pages of the corpus.
+"""Separating the body of a page from what surrounds it, by tag-path ratios learned from the corpus itself.
+
+Pages come as lines, so the path of a line is made of what pages give: its
+section (the last line that speaks another language than prose does), its shape
+(sentence or not) and as leaf its foreign words, those that the long lines
+and titles of the corpus hardly ever use.  Per path over all pages, the text ratio of its
+lines (length and punctuation, discounted by the share of foreign words) is
+averaged, smoothed with the ratio of the lines that follow it on its pages, and
+both are fused.  A threshold between the two modes of the paths' scores parts
+furniture from content: a menu entry or notice is followed by more of its kind,
+a heading by prose.  Links below a furniture line belong to it where links are
+what mostly follows that line.  No phrase, menu word or language is listed.
 """
 
 from __future__ import annotations
@@ -14,252 +17,210 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-
-# Words of page menus in four languages.
-MENU = frozenset(
-    "blogs|blog|documentation|docs|search|search this site|home|products|register|sign in|sign up|log in|training|support|help|community|community hubs|pricing|"
-    "what's new|news|events|my profile|about|about us|contact|menu|"
-    "preise|startseite|dokumentation|suche|suchen|anmelden|termine|veranstaltungen|produkte|hilfe|registrieren|mein profil|über uns|kontakt|schulungen|neuigkeiten|"
-    "assistance|aide|rechercher|recherche|tarifs|produits|mon profil|événements|accueil|se connecter|s'inscrire|inscription|formation|formations|nouveautés|"
-    "productos|ayuda|mi perfil|inicio|iniciar sesión|eventos|buscar|precios|documentación|registrarse|formación|novedades|comunidad|communauté|gemeinschaft|soporte".split("|")
-)
-# Names of languages in switches.
-LANGUAGES = frozenset("english deutsch français español italiano português nederlands polski 日本語 中文".split())
-# Buttons of consent notices.
-BUTTONS = (
-    "accept all|reject all|necessary only|manage preferences|save my choices|accept|reject|decline|"
-    "alle akzeptieren|alle ablehnen|nur notwendige|einstellungen verwalten|auswahl speichern|"
-    "tout accepter|tout refuser|gérer mes choix|"
-    "aceptar todo|rechazar todo|rechazar|configurar cookies"
-)
-# Headings of sidebars and link lists.
-ASIDES = (
-    "related posts|related articles|you may also like|popular tags|top contributors|recent comments|recent posts|most viewed this week|most read|trending now|see also|"
-    "ähnliche beiträge|das könnte sie auch interessieren|meistgelesen|beliebte schlagwörter|neueste kommentare|"
-    "articles liés|à lire aussi|les plus lus|derniers commentaires|mots-clés populaires|"
-    "artículos relacionados|también le puede interesar|lo más leído|últimos comentarios|etiquetas populares"
-)
-# Furniture lines that stand for themselves, by kind.
-FIXED = {
-    "nav": r"skip to (?:main )?content|zum inhalt springen|aller au contenu|saltar al contenido",
-    "consent": (
-        r"we and our \d+ partners use cookies\b.*|this site (?:stores|uses) cookies\. .*|.{2,60} uses necessary cookies only, unless you .*|cookie notice\b.*|"
-        r"your privacy matters: .*cookies.*|we use cookies to .*|by continuing you accept .*|"
-        r"wir verwenden cookies, um .*|diese seite (?:speichert|verwendet) cookies .*|nous utilisons des cookies .*|ce site (?:enregistre|utilise) des cookies .*|"
-        r"usamos cookies .*|utilizamos cookies .*|este sitio (?:guarda|usa|utiliza) cookies .*"
-    ),
-    "share": (
-        r"(?:share this post|share|beitrag teilen|teilen|partager|compartir) ?: .*|\d+ min read\b.*|\d+ min(?:uten)? lesezeit\b.*|\d+ min de lecture?a?\b.*|"
-        r"log in to comment|follow this blog board|follow [\w .-]{2,40} on the usual networks|zum kommentieren bitte anmelden|connectez-vous pour commenter|inicie sesión para comentar|"
-        r"\d+ (?:likes?|kommentare?|commentaires?|comentarios?|comments?|views?)(?: · \d+ [\w' ]+)+"
-    ),
-    "signup": (
-        r"join \d+ readers of the .* digest|subscribe to the .* newsletter\b.*|try .{2,60} free for \d+ days\b.*|newsletter von .* abonnieren|"
-        r"abonnez-vous à la lettre de .*|suscríbase al boletín de .*"
-    ),
-    "foot": (
-        r"© ?\d{4} .*|copyright (?:© ?)?\d{4} [^.]{1,60}\. (?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\.?|"
-        r"page generated in \d+ ms\b.*|version \d+ of this page, last edited .*|feedback on this page\b.*|privacy \| terms\b.*|back to top|sitemap|do not sell my personal information|"
-        r"was this page helpful\?.*|impressum \| .*|nach oben|war diese seite hilfreich\?.*|haut de page|mentions légales \| .*|cette page vous a-t-elle aidé ?\?.*|"
-        r"aviso legal \| .*|volver arriba|¿le resultó útil esta página\?.*"
-    ),
-}
-_FIXED = [(kind, re.compile(rf"(?:{pattern})")) for kind, pattern in FIXED.items()]
-_ASIDE = re.compile(rf"(?:{ASIDES}) ?:?")
-_BUTTON = re.compile(rf"(?:{BUTTONS})(?:[ |·/]+(?:{BUTTONS}))*")
-_SEPARATOR = re.compile(r"\s{2,}|\s*[|»>·•☰/›→]\s*")
-_COUNT = re.compile(r"\s*\(\d+\)")
-_CRUMB = re.compile(r"^(.+?) (/|>|»|›|→) \S+ \2 .+$")
-_TAGLIST = re.compile(r"[\w-]+(?:, [\w-]+)+")
+from .common import spread
+
+#: Lines of more characters are prose, whose words the others are measured by.
+LONG = 160
+#: Prose words are kept as bits of a map of this fixed size; a word counts if it stands on so many pages.
+SLOTS, WORD_PAGES = 1 << 24, 2
+#: A leaf has its own ratio if it stands on so many pages and on this share of all pages (so there are few); others take that of their shape.
+LEAF_PAGES, LEAF_SHARE = 3, 0.0005
+#: Weights of a path's own ratio and of the ratio of what follows it.
+OWN, NEXT = 0.25, 0.75
+_WORD = re.compile(r"[^\W\d_]+")
+_END = re.compile(r"[.?!:…][\"'”’»)\]]*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
-_ITEM = re.compile(r"^(?:»|•|·|›|\d{1,2}[.)]) +\S")
-_ENDS = re.compile(r"[.?!:;,…][\"'”’»)\]]*$")
-#: Paths of structure that is content whatever its ratio.
-STRUCTURE = {"title", "heading", "code", "row", "bullet"}
-
-
-def menu_like(line: str) -> bool:
-    """Only menu words, whatever separates them."""
-    parts = [p for p in _SEPARATOR.split(_COUNT.sub("", line)) if p]
-    return bool(parts) and (all(p in MENU for p in parts) or len(parts) > 1 and all(p in LANGUAGES for p in parts))
-
-
-def tag(line: str) -> str:
-    """Kind of a line by itself; ``line`` is stripped and in lower case."""
-    if menu_like(line):
-        return "nav"
-    if (m := _CRUMB.match(line)) and _COUNT.sub("", m[1]) in MENU and len(line) < 160:
-        return "crumb"
-    if _BUTTON.fullmatch(line):
-        return "consent"
-    if _ASIDE.fullmatch(line):
-        return "aside"
-    for kind, pattern in _FIXED:
-        if pattern.fullmatch(line):
-            return kind
-    return ""
-
-
-def line_key(line: str) -> int:
-    """Number of a line by its text in lower case, digits being equal."""
-    low = re.sub(r"\d+", "0", line.lower()).encode()
-    return zlib.crc32(low) << 20 | len(low) & 0xFFFFF
-
-
-def nodes(body: str, title: str | None) -> list[tuple[int, str, int, int, int | None]]:
-    """(line_no, path, text length, punctuation marks, key of its text) of every non-blank line; only prose and short lines have a key.
-
-    Lines below a sidebar heading belong to the aside as long as they look like
-    its links: a list of tags, a marked entry, or a short line without final
-    punctuation.
-    """
+_LIST = re.compile(r"^\* +\S")
+_COMMAS = re.compile(r"[\w-]+(?:, [\w-]+)+")
+#: Kinds: code, heading by mark, title, line with foreign words, line of prose words that ends a sentence or is long, other line.
+CODE, HEADING, TITLE, FOREIGN, PROSE, SHORT, TAGS, STAR = range(8)
+
+
+def slot(word: str) -> int:
+    return zlib.crc32(word.encode()) & (SLOTS - 1)
+
+
+def text_ratio(line: str, foreign: float, sentence: bool) -> float:
+    """0..1: grows with length and punctuation, shrinks with the share of foreign words."""
+    length = min(1.0, np.log1p(len(line)) / np.log1p(LONG))
+    return float((1 - foreign) * length * (1.0 if sentence or len(line) > 100 else 0.25))
+
+
+def nodes(body: str, title: str | None, known: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(line_no, kind, leaf, shape, ratio) of every non-blank line; ``known`` are the bits of the words of prose."""
     own = title.strip().lower() if title else None
-    out, fence, aside = [], "", False
+    out, fence = [], ""
     for number, raw in enumerate(body.split("\n")):
         s = raw.strip()
         if not s:
             continue
-        low = s.lower().replace("’", "'")
         mark = _FENCE.match(s)
-        kind = ""
-        if fence:
-            kind = "code"
-            if mark and mark[1] == fence:
+        if fence or mark:
+            out.append((number, CODE, 0, 0, 1.0))
+            if not fence:
+                fence = mark[1]
+            elif mark and mark[1] == fence:
                 fence = ""
-        elif mark:
-            kind, fence, aside = "code", mark[1], False
-        elif s.startswith("#"):
-            kind, aside = "heading", False
-        elif low == own:
-            kind, aside = "title", False
+            continue
+        low = s.lower()
+        sentence = bool(_END.search(s))
+        if s.startswith("#") or low == own:
+            out.append((number, HEADING if s.startswith("#") else TITLE, 0, 0, 0.5))
+            continue
+        w = _WORD.findall(low)
+        strange = sorted({x for x in w if not known[slot(x)]})
+        share = sum(not known[slot(x)] for x in w) / max(1, len(w))
+        prose = sentence or len(s) > 100
+        ratio = text_ratio(s, share, sentence)
+        tags = bool(_COMMAS.fullmatch(s))
+        if strange and not tags and (share >= 0.25 or not prose):
+            leaf = zlib.crc32(" ".join(strange).encode()) << 8 | min(len(strange), 255)
+            out.append((number, FOREIGN, leaf, 1 + (share >= 0.5) + 2 * prose, ratio))
+        elif prose or s.startswith("|"):
+            out.append((number, PROSE, 0, 0, ratio))
         else:
-            found = tag(low)
-            if found:
-                aside = found == "aside"
-                kind = found
-            elif aside and (_TAGLIST.fullmatch(s) or _ITEM.match(s) or len(s) <= 100 and not _ENDS.search(s) and not s.startswith("* ")):
-                kind = "aside/link"
-                # a list of tags is a line of its own; what follows it is no more of its links
-                aside = not _TAGLIST.fullmatch(s)
-            else:
-                aside = False
-                if s.startswith("|") or re.match(r"^\s{2,}\S+: ", raw):
-                    kind = "row"
-                elif re.match(r"^(?:[-*+•]|\d{1,2}[.)]) +\S", s):
-                    kind = "bullet"
-                elif _ENDS.search(s) or len(s) > 100:
-                    kind = "prose"
-                else:
-                    kind = "short"
-        shape = "long" if len(s) > 100 else "mid" if len(s) > 40 else "brief"
-        out.append((number, f"{kind}/{shape}", len(s), len(re.findall(r"[.,;:?!]", s)), line_key(s) if kind in ("prose", "short") else None))
+            out.append((number, TAGS if tags else STAR if _LIST.match(s) else SHORT, 0, 0, ratio))
     return out
 
 
-#: Kinds that furniture is known by; the ratio of their paths is discounted by KNOWN before the fusion.
-KNOWN = 0.02
-FURNITURE = {"nav", "crumb", "consent", "share", "signup", "foot", "aside", "repeated"}
-#: A line is repeated if it stands on so many pages of different titles, and on this share of all pages.
-REPEATED, REPEATED_SHARE = 5, 0.005
-
-
-def at_edges(rows: list[tuple[int, str, int, int, int | None]], kinds: list[str], repeated: set[int]) -> list[int]:
-    """Places of the repeated lines that only furniture or other repeated lines part from the top or the end of the page."""
-    def outer(i: int) -> bool:
-        return kinds[i] in FURNITURE or rows[i][1].startswith("aside/") or rows[i][4] in repeated
-
-    n = len(rows)
-    top = next((i for i in range(n) if not outer(i)), n)
-    if top == n:  # nothing else on the page
-        return []
-    end = next(i for i in range(n, 0, -1) if not outer(i - 1))
-    # a short line next to content may be its heading (or one with nothing below)
-    head = top - (top > 0 and kinds[top - 1] == "short" and kinds[top] not in ("title", "heading"))
-    end += end < n and kinds[end] == "short"
-    return [i for i in (*range(head), *range(end, n)) if rows[i][4] in repeated]
-
-
-def furniture(rows: list[tuple[int, str, int, int, int | None]], ratio: dict[str, float], threshold: float, repeated: set[int] = frozenset()) -> list[int]:
-    """Line numbers of the nodes whose fused score stays below the threshold."""
-    kinds = [r[1].split("/")[0] for r in rows]
-    for i in at_edges(rows, kinds, repeated):
-        kinds[i] = "repeated"
-    raw = [ratio.get(r[1], 0.0) * (KNOWN if k in FURNITURE else 1.0) for r, k in zip(rows, kinds)]
-    out = []
-    for i, (number, *_) in enumerate(rows):
-        if kinds[i] in STRUCTURE:
-            continue
-        near = [x for x, k in zip(raw[max(0, i - 1) : i + 2], kinds[max(0, i - 1) : i + 2]) if (k in FURNITURE) == (kinds[i] in FURNITURE)]
-        if (raw[i] * sum(near) / len(near)) ** 0.5 < threshold:
+def valley(score: np.ndarray, weight: np.ndarray, steps: int = 64) -> float:
+    """The threshold between the two modes of scores in 0..1: the one that leaves least variance within the sides (Otsu)."""
+    if not len(score):
+        return 0.0
+    best, at = -1.0, 0.0
+    for t in np.linspace(0, 1, steps + 1)[1:-1]:
+        low = score < t
+        a, b = weight[low].sum(), weight[~low].sum()
+        if a and b:
+            between = a * b * (np.average(score[low], weights=weight[low]) - np.average(score[~low], weights=weight[~low])) ** 2
+            if between > best:
+                best, at = between, float(t)
+    return at
+
+
+class Paths:
+    """Scores of leaves and shapes, which of them links follow, and the threshold."""
+
+    def __init__(self, rows: list[tuple[int, int, int, float, float, float]], least: float):
+        """``rows``: (shape, leaf, pages, own ratio, ratio of the next line, share of next lines that are short) per leaf, and with leaf 0 per shape; leaf and shape 0 is prose, which speaks for itself."""
+        self.score = {(s, k): OWN * own + NEXT * (after if s else own) for s, k, n, own, after, _ in rows if not k or n >= least}
+        self.links = {(s, k): short for s, k, n, _, _, short in rows if not k or n >= least}
+        kept = [(self.score[s, k], n) for s, k, n, *_ in rows if (s, k) in self.score]
+        score, weight = np.array([x for x, _ in kept]), np.array([float(n) for _, n in kept])
+        self.threshold = valley(score, weight) if len(kept) else 0.0
+
+    def of(self, shape: int, leaf: int) -> tuple[float, float]:
+        at = (shape, leaf) if (shape, leaf) in self.score else (shape, 0)
+        return self.score.get(at, 1.0), self.links.get(at, 0.0)
+
+
+def furniture(rows: list[tuple[int, int, int, int, float]], paths: Paths) -> list[int]:
+    """Line numbers of the nodes that belong to the page around the content."""
+    out: list[int] = []
+    linked = False
+    for number, kind, leaf, shape, _ in rows:
+        if kind == FOREIGN:
+            score, links = paths.of(shape, leaf)
+            linked = False
+            if score < paths.threshold:
+                out.append(number)
+                linked = links > 0.5
+        elif kind in (SHORT, TAGS) and linked:
+            out.append(number)
+            linked = kind != TAGS  # a list of tags stands for itself
+        else:
+            linked = False
+    # a short line among furniture, or between it and an end of the page, is smoothed away with it
+    around, n = set(out), len(rows)
+    for i, (number, kind, *_) in enumerate(rows):
+        near = [rows[j][0] in around for j in (i - 1, i + 1) if 0 <= j < n]
+        if kind == SHORT and number not in around and near and all(near):
             out.append(number)
     return out
 
 
-NODES = "array<struct<line_no:int,path:string,size:int,marks:int,key:bigint>>"
+NODES = "array<struct<line_no:int,kind:int,leaf:bigint,shape:int,ratio:double>>"
+_FIELDS = ("line_no", "kind", "leaf", "shape", "ratio")
+
+
+def prose_words(df: DataFrame, body: str, title: str) -> DataFrame:
+    """Words of the long lines and the titles of WORD_PAGES pages or more; a body met again counts once."""
+    lines = F.filter(F.split(F.lower(F.col(body)), "\n"), lambda s: F.length(F.trim(s)) > LONG)
+    found = df.select(F.array_distinct(F.regexp_extract_all(F.concat(F.array_join(lines, "\n"), F.lit("\n"), F.lower(F.coalesce(title, F.lit("")))), F.lit(r"\p{L}+"), F.lit(0))).alias("w"), F.xxhash64(body).alias("p"))
+    counted = found.select(F.explode("w").alias("word"), "p").groupBy("word").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
+    return counted.where((F.col("n") >= WORD_PAGES) & (F.col("a") != F.col("b"))).select("word")
 
 
 def page_nodes(df: DataFrame, body: str, title: str, keys: list[str]) -> DataFrame:
     """``keys``, a number of the page by its title (its body, where it has none), and the nodes of every page; null and blank bodies have none."""
-    rows = df.select(*keys, body, title)
+    taken = [r[0] for r in prose_words(df, body, title).select(F.crc32(F.col("word").cast("binary")).bitwiseAND(SLOTS - 1).cast("int").alias("s")).distinct().collect()]  # SLOTS at most
+    bits = np.zeros(SLOTS, bool)
+    bits[taken] = True
+    known = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    rows = spread(df.select(*keys, body, title))
     names = [*keys, "_page", "nodes"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]) + f", _page bigint, nodes {NODES}"
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("path", pa.string()), ("size", pa.int32()), ("marks", pa.int32()), ("key", pa.int64())]))
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.int32()), ("leaf", pa.int64()), ("shape", pa.int32()), ("ratio", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.unpackbits(known.value).view(bool)
         for b in batches:
             n = len(keys)
-            found = [[dict(zip(("line_no", "path", "size", "marks", "key"), x)) for x in nodes(t, h)] if t else [] for t, h in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
-            page = [zlib.crc32((h or t or "").encode()) for t, h in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+            texts, titles = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+            found = [[dict(zip(_FIELDS, x)) for x in nodes(t, h, words)] if t else [] for t, h in zip(texts, titles)]
+            page = [zlib.crc32((h or t or "").encode()) for t, h in zip(texts, titles)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(page, pa.int64()), pa.array(found, kind)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def path_ratios(pages: DataFrame) -> DataFrame:
-    """Per path: nodes, text length a node, punctuation a hundred characters, and their product as the ratio."""
-    lines = pages.select(F.inline("nodes"))
-    agg = lines.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("marks").alias("marks"))
-    return agg.select("path", "n", (F.col("size") / F.col("n")).alias("mean_length"), (100 * F.col("marks") / F.col("size")).alias("mark_rate")).withColumn("ratio", F.log1p("mean_length") * (1 + F.col("mark_rate")))
-
-
-def repeated_lines(pages: DataFrame) -> set[int]:
-    """Keys of the lines repeated over pages; as each stands on a least share of all pages, there are few."""
-    least = max(REPEATED, REPEATED_SHARE * pages.agg(F.countDistinct("_page")).head()[0])
-    lines = pages.select("_page", F.inline("nodes")).where("key is not null").select("key", "_page").distinct()
-    return {r["key"] for r in lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
-
-
-def boilerplate_lines(df: DataFrame, body: str, title: str, keys: list[str], threshold: float = 1.0) -> DataFrame:
+def path_ratios(pages: DataFrame) -> Paths:
+    """Per path over all pages: its own mean ratio, that of the lines after it, and how often a short line follows."""
+    after = F.transform("nodes", lambda x, i: F.struct(x["kind"].alias("kind"), x["leaf"].alias("leaf"), x["shape"].alias("shape"), x["ratio"].alias("own"), F.get("nodes", i + 1).alias("next")))
+    lines = pages.select("_page", F.inline(after)).where(F.col("kind").isin(FOREIGN, PROSE))
+    measured = lines.select("_page", "shape", "leaf", "own", F.coalesce("next.ratio", F.lit(0.0)).alias("after"), F.coalesce(F.col("next.kind").isin(SHORT, TAGS), F.lit(False)).cast("double").alias("short"))
+    stats = [F.avg("own").alias("own"), F.avg("after").alias("after"), F.avg("short").alias("short")]
+    n_pages = pages.agg(F.approx_count_distinct("_page")).head()[0]
+    least = max(LEAF_PAGES, LEAF_SHARE * n_pages)
+    by_leaf = measured.where("leaf <> 0").groupBy("shape", "leaf").agg(F.count("*").alias("lines"), F.approx_count_distinct("_page", 0.02).alias("n"), *stats)
+    # the leaves that stand for themselves are few; all others are summed up by shape
+    own = by_leaf.where(F.col("n") >= least).select("shape", "leaf", "n", "own", "after", "short")
+    mean = lambda c: (F.sum(F.col(c) * F.col("lines")) / F.sum("lines")).alias(c)
+    rest = by_leaf.where(F.col("n") < least).groupBy("shape").agg(F.sum("lines").alias("n"), mean("own"), mean("after"), mean("short")).select("shape", F.lit(0).cast("bigint").alias("leaf"), "n", "own", "after", "short")
+    prose = measured.where("leaf = 0").groupBy("shape").agg(F.count("*").alias("n"), *stats).select("shape", F.lit(0).cast("bigint").alias("leaf"), "n", "own", "after", "short")
+    return Paths([tuple(r) for r in reduce(DataFrame.unionByName, (own, rest, prose)).collect()], least)
+
+
+def boilerplate_lines(df: DataFrame, body: str, title: str, keys: list[str]) -> DataFrame:
     """``keys`` and line_no (from 0, over the pieces between line feeds) of every line that isn't the page's own content.
 
     Blank lines never count.  Null or blank bodies give no rows; repeated rows
-    are judged one by one.  The paths are a fixed set (kinds times shapes), so
-    their ratios are a table of at most a few dozen rows.
+    are judged one by one.  What the corpus teaches is of bounded size: a map
+    of SLOTS bits and the paths on at least a share LEAF_SHARE of all pages.
     """
     pages = cut(page_nodes(df, body, title, keys))
-    ratio = {r["path"]: r["ratio"] for r in path_ratios(pages).collect()}
-    repeated = repeated_lines(pages)
-
+    paths = path_ratios(pages)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields[: len(keys)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(len(keys) + 1).to_pylist()
-            lines = [furniture([(r["line_no"], r["path"], r["size"], r["marks"], r["key"]) for r in page], ratio, threshold, repeated) for page in rows]
+            lines = [furniture([tuple(r[f] for f in _FIELDS) for r in page], paths) for page in b.column(len(keys) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(lines, pa.list_(pa.int32()))], names=[*keys, "lines"])
 
     return pages.mapInArrow(judge, f"{fields}, lines array<int>").select(*keys, F.explode("lines").alias("line_no"))
 
 
-def main_body(df: DataFrame, body: str, title: str, key: str, threshold: float = 1.0) -> DataFrame:
+def main_body(df: DataFrame, body: str, title: str, key: str) -> DataFrame:
     """(``key``, main_text) of every page: its body without the lines that belong to the page around it."""
-    drop = boilerplate_lines(df, body, title, [key], threshold).groupBy(key).agg(F.collect_set("line_no").alias("_drop"))
+    drop = boilerplate_lines(df, body, title, [key]).groupBy(key).agg(F.collect_set("line_no").alias("_drop"))
     rows = df.select(key, F.col(body).alias("_body")).join(drop, key, "left")
     kept = F.filter(F.split("_body", "\n"), lambda line, i: ~F.coalesce(F.array_contains("_drop", i), F.lit(False)))
     return rows.select(key, F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")).alias("main_text"))
