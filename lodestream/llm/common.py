@@ -37,20 +37,3 @@ def type_names(config: DataFrame) -> DataFrame:
     """(alias, source_type): every name and alias of ``chunk_config`` in lower case, each once."""
     names = config.select(F.explode(F.array_union(F.array("source_type"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"), "source_type")
     return names.where("alias is not null").groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.min("source_type").alias("source_type"))
-
-
-# Frequent short words by language.
-COMMON_WORDS = {
-    "en": "the and of to is that for with are this which when from before how",
-    "de": "der die das und ist nicht mit ein eine für bis wenn den im wird zu",
-    "fr": "le la les et des une est que pour dans avec sur sans pas plus du",
-    "es": "el los las una es que para con por del sin más cuando hasta como en",
-}
-
-
-def guessed_language(text: Column) -> Column:
-    """The language whose frequent words the text holds most of; ``und`` if it holds none."""
-    low = F.lower(text)
-    votes = [F.struct(F.size(F.regexp_extract_all(low, F.lit(rf"(?U)\b(?:{'|'.join(w.split())})\b"), F.lit(0))).alias("n"), F.lit(code).alias("code")) for code, w in COMMON_WORDS.items()]
-    best = F.greatest(*votes)
-    return F.when(best["n"] > 0, best["code"]).otherwise(F.lit("und"))
