@@ -1,11 +1,14 @@
 """Filling containers of fixed capacity with texts, by histogram of their sizes.
 
-The histogram of sizes (at most ``capacity`` entries) is solved on the driver:
-combinations of up to three size classes that fill a window below the capacity
-get repeat counts by non-negative least squares, rounded down; what is left is
-packed greedily, always into the fullest open combination that still has room.
-The plan is in terms of sizes and repeats, never of single texts.  Executors
-rank texts within their size and read their place off the plan.
+The histogram of sizes (at most ``capacity`` entries) is solved on the driver.
+All sizes go into classes, each known by its largest size; shallow combinations
+of up to three classes, with repeats, that fill a window below the capacity get
+repeat counts by non-negative least squares against the classes' counts, are
+rounded, and are filled with the exact sizes of their classes.  This is done
+again on what is left; the last residuals are packed greedily, always into the
+fullest container that still has room.  The plan is in terms of sizes and
+repeats, never of single texts.  Executors rank texts within their size and
+read their place off the plan.
 """
 
 from __future__ import annotations
@@ -21,73 +24,132 @@ from ..session import cut, table
 from .bpe import count_texts
 
 Plan = list[tuple[tuple[int, ...], int]]  # sizes in one container, number of such containers
+#: Classes of sizes, the part of the capacity that a combination may leave free, and how often the rest is solved again.
+CLASSES, WINDOW, PASSES = 64, 32, 6
 
 
-def nonnegative(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Least squares with non-negative unknowns, by multiplicative steps (``a`` and ``b`` are non-negative)."""
-    x = np.full(a.shape[1], max(b.sum(), 1) / max(a.sum(), 1))
-    top, square = a.T @ b, a.T @ a
-    for _ in range(rounds):
-        x *= top / np.maximum(square @ x, 1e-12)
+def nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares with non-negative unknowns, by active sets; no more unknowns than rows are positive."""
+    x, active = np.zeros(a.shape[1]), []
+    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    for _ in range(3 * len(b)):
+        gain = a.T @ (b - a @ x)
+        gain[active] = -np.inf
+        best = int(np.argmax(gain))
+        if gain[best] <= tolerance:
+            break
+        active.append(best)
+        while True:
+            z = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            if z.min() > 0:
+                x[:] = 0
+                x[active] = z
+                break
+            old = x[active]
+            falling = z <= 0
+            step = np.min(old[falling] / np.maximum(old[falling] - z[falling], 1e-300))
+            moved = old + step * (z - old)
+            kept = [k for k, v in zip(active, moved) if v > 1e-12]
+            x[:] = 0
+            for k, v in zip(active, moved):
+                if v > 1e-12:
+                    x[k] = v
+            if len(kept) == len(active) or not kept:  # no progress is left
+                return x
+            active = kept
     return x
 
 
-def combinations(sizes: np.ndarray, capacity: int, window: int, most: int = 4000) -> list[tuple[int, ...]]:
-    """Combinations of at most three different sizes, with repeats, that fill all but ``window`` of the capacity."""
-    found: set[tuple[int, ...]] = set()
-    ascending = np.sort(sizes)
-    for i, a in enumerate(ascending[::-1]):
-        for k in {1, 2, 3, capacity // int(a)}:
-            left = capacity - int(a) * k
-            if left < 0 or k < 1:
-                continue
+def combinations(sizes: np.ndarray, capacity: int, window: int) -> list[dict[int, int]]:
+    """Combinations {class: repeats} of at most three of ``sizes`` (ascending) that fill all but ``window`` of the capacity.
+
+    The first of a combination is repeated by powers of two or as often as it
+    fits, the second as often as it then fits, the third is the largest that
+    fits the rest.
+    """
+    found: dict[tuple, dict[int, int]] = {}
+
+    def add(parts: list[tuple[int, int]]) -> None:
+        one: dict[int, int] = {}
+        for i, k in parts:
+            one[i] = one.get(i, 0) + k
+        found.setdefault(tuple(sorted(one.items())), one)
+
+    for i, a in enumerate(sizes.tolist()):
+        times = {1 << p for p in range(int(capacity // a).bit_length()) if a << p <= capacity} | {capacity // a}
+        for k in times:
+            left = capacity - a * k
             if left <= window:
-                found.add((int(a),) * k)
-            for b in ascending[: len(ascending) - i]:
-                if b > left:
-                    break
-                m = left // int(b)
-                for j in {1, m}:
-                    rest = left - int(b) * j
+                add([(i, k)])
+            for j in range(int(np.searchsorted(sizes, left, side="right"))):
+                b = int(sizes[j])
+                for m in {1, left // b}:
+                    rest = left - b * m
                     if rest <= window:
-                        found.add((int(a),) * k + (int(b),) * j)
-                    else:
-                        at = int(np.searchsorted(ascending, rest, side="right")) - 1
-                        if at >= 0 and rest - int(ascending[at]) <= window:
-                            found.add(tuple(sorted((int(a),) * k + (int(b),) * j + (int(ascending[at]),), reverse=True)))
-            if len(found) >= most:
-                return sorted(found)
-    return sorted(found)
-
-
-def plan(histogram: dict[int, int], capacity: int, classes: int = 64) -> Plan:
-    """Containers for all items of the histogram (sizes 1..capacity); every item is placed exactly once."""
-    left = {s: n for s, n in histogram.items() if 0 < s <= capacity and n > 0}
-    out: Plan = []
-    if not left:
-        return out
+                        add([(i, k), (j, m)])
+                    elif rest >= sizes[0]:
+                        c = int(np.searchsorted(sizes, rest, side="right")) - 1
+                        if rest - int(sizes[c]) <= window:
+                            add([(i, k), (j, m), (c, 1)])
+    return list(found.values())
+
+
+def solved(left: dict[int, int], capacity: int, classes: int = CLASSES) -> Plan:
+    """Containers by least squares over all sizes of ``left``, from which what is placed is taken; one pass."""
     sizes = np.array(sorted(left))
-    counts = np.array([left[s] for s in sizes], float)
-    # representative sizes: quantiles of the items, always sizes that occur
-    cum = np.cumsum(counts)
-    picks = np.unique(sizes[np.searchsorted(cum, np.linspace(cum[0], cum[-1], min(classes, len(sizes))))])
-    combos = combinations(picks, capacity, max(1, capacity // 128))
-    if combos:
-        a = np.zeros((len(picks), len(combos)))
-        row = {int(s): i for i, s in enumerate(picks)}
-        for j, c in enumerate(combos):
-            for s in c:
-                a[row[s], j] += 1
-        repeats = np.floor(nonnegative(a, np.array([left[int(s)] for s in picks], float)))
-        for j in np.argsort(-repeats):
+    volume = np.cumsum(np.array([s * left[s] for s in sizes.tolist()], float))
+    # classes of about equal volume; each ends with a size that occurs
+    ends = np.unique(np.append(np.searchsorted(volume, np.linspace(0, volume[-1], min(classes, len(sizes)) + 1)[1:-1]), len(sizes) - 1))
+    members = np.split(np.arange(len(sizes)), ends[:-1] + 1)
+    combos = combinations(sizes[ends], capacity, max(1, capacity // WINDOW))
+    if not combos:
+        return []
+    a = np.zeros((len(ends), len(combos)))
+    for j, c in enumerate(combos):
+        for i, k in c.items():
+            a[i, j] = k
+    counts = np.array([sum(left[int(s)] for s in sizes[m]) for m in members], float)
+    repeats = nonnegative(a, counts)
+    at = {int(s): i for i, m in enumerate(members) for s in sizes[m]}
+    have, there, out = counts.astype(np.int64), sizes.tolist(), []
+    for j in np.argsort(-repeats, kind="stable"):
+        n = int(np.ceil(repeats[j] - 1e-6))
+        slots = [i for i, k in sorted(combos[j].items(), reverse=True) for _ in range(k)]
+        while n > 0 and all(have[i] >= k for i, k in combos[j].items()):
+            # the largest sizes of the classes first; the last slot takes the largest size that fits, of whatever class
             need: dict[int, int] = {}
-            for s in combos[j]:
-                need[s] = need.get(s, 0) + 1
-            n = int(min(repeats[j], *(left[s] // k for s, k in need.items())))
-            if n > 0:
-                out.append((combos[j], n))
-                for s, k in need.items():
-                    left[s] -= n * k
+            free = capacity
+            for i in slots[:-1]:
+                size = next(s for s in reversed(sizes[members[i]].tolist()) if left[s] > need.get(s, 0))
+                need[size] = need.get(size, 0) + 1
+                free -= size
+            k = bisect_left(there, free + 1) - 1
+            while k >= 0 and left[there[k]] <= need.get(there[k], 0):
+                if not left[there[k]]:
+                    del there[k]
+                k -= 1
+            if k >= 0:
+                need[there[k]] = need.get(there[k], 0) + 1
+            run = min([n, *(left[s] // m for s, m in need.items())])
+            out.append((tuple(s for s in sorted(need, reverse=True) for _ in range(need[s])), run))
+            for s, m in need.items():
+                left[s] -= m * run
+                have[at[s]] -= m * run
+            n -= run
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> tuple[Plan, int]:
+    """Containers for all items of the histogram (sizes 1..capacity), every item exactly once, and how many items the least squares placed."""
+    left = {s: n for s, n in histogram.items() if 0 < s <= capacity and n > 0}
+    total, out = sum(left.values()), []
+    for _ in range(PASSES):
+        left = {s: n for s, n in left.items() if n}
+        some = solved(left, capacity, classes) if left else []
+        out += some
+        if sum(len(items) * n for items, n in some) < 0.01 * total:
+            break
+    by_squares = sum(len(items) * n for items, n in out)
     # greedy: largest size first, into the open combination with the least room that suffices
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     order: list[int] = []
@@ -122,7 +184,7 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = 64) -> Plan:
                 fresh = n // each
                 put((size,) * each, fresh)
                 n -= fresh * each
-    return [x for free in order for x in room[free]]
+    return [x for free in order for x in room[free]], by_squares
 
 
 def places(plans: dict[str, Plan]) -> pd.DataFrame:
@@ -163,7 +225,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[str, int], buck
     histogram: dict[str, dict[int, int]] = {n: {} for n in capacities}
     for r in counts.groupBy("container", "n_tokens").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
         histogram[r["container"]][r["n_tokens"]] = r["n"]
-    table_ = places({n: plan(histogram[n], c) for n, c in capacities.items()}).sort_values(["container", "size", "first_rank"])
+    table_ = places({n: plan(histogram[n], c)[0] for n, c in capacities.items()}).sort_values(["container", "size", "first_rank"])
     ranked = pieces.withColumn("in_bucket", F.row_number().over(Window.partitionBy("container", "n_tokens", "bucket").orderBy("key", "piece_no")) - 1)
     ranked = ranked.join(starts, ["container", "n_tokens", "bucket"]).withColumn("rank", F.col("start") + F.col("in_bucket"))
     by_name = {n: g.reset_index(drop=True) for n, g in table_.groupby("container")}

@@ -1,45 +1,66 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestream.llm import budget as T
 from lodestream.llm import packing as P
-from lodestream.llm.common import guessed_language, language, tokenizer_dir
+from lodestream.llm.bpe import encode_texts
+from lodestream.llm.common import language
+from lodestream.session import table
 from pyspark.sql import functions as F
 
-BYTES = [bytes([b]) for b in range(97, 103)]
+def merged(text, merges):
+    """The encoding by its definition: the leftmost pair of lowest rank first, until no pair is left."""
+    tokens = list(text)
+    while True:
+        ranks = [(merges.index((a, b)), i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (a, b) in merges]
+        if not ranks:
+            return tokens
+        i = min(ranks)[1]
+        tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+
+
+def toy(seed, n):
+    """A vocabulary of the bytes and ``n`` merges of tokens made before, in random order of making."""
+    rng = random.Random(seed)
+    words, merges = ["a", "b", "c"], []
+    for _ in range(n):
+        a, b = rng.choice(words), rng.choice(words)
+        if a + b not in words:
+            merges.append((a, b))
+            words.append(a + b)
+    every = [*(bytes([x]) for x in range(256)), *(w.encode() for w in words[3:])]
+    place = {w: every.index(w.encode()) for w in words}
+    return T.Matcher(every, [(place[a], place[b], place[a + b]) for a, b in merges]), merges
 
 
-def longest(words, data):
-    n = at = 0
-    known = set(words)
-    while at < len(data):
-        size = next(k for k in range(len(data) - at, 0, -1) if data[at : at + k] in known)
-        at, n = at + size, n + 1
-    return n
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 25), st.text("abc", min_size=1, max_size=30))
+def test_counts_are_those_of_the_merges(seed, n, text):
+    matcher, merges = toy(seed, n)
+    assert matcher.piece(text.encode()) == len(merged(text, merges))
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("abcdef", min_size=1, max_size=6), max_size=15), st.text("abcdef", max_size=40))
-def test_longest_match(words, text):
-    vocabulary = [*BYTES, *(w.encode() for w in words)]
-    assert T.Matcher(vocabulary).piece(text.encode()) == longest(vocabulary, text.encode())
-
-
-def test_public_vocabulary_and_labels(spark):
-    path = f"{tokenizer_dir()}/byte_bpe_50k.json"
-    words = T.vocabulary(path)
-    m = T.matcher(path)
-    for piece in (" Hello", " wexnimori", "中文", "....", " 75388"):
-        assert m.piece(piece.encode()) == longest(words, piece.encode())
+def test_public_vocabulary_and_labels(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted = {r.doc_id: r.n_tokens for r in T.count_tokens(docs, "text").collect()}
+    assert counted == {r.doc_id: r.n for r in encode_texts(docs, "doc_id", "text").select("doc_id", F.size("ids").alias("n")).collect()}
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello world"), (3, "Hello world")], "n_tokens_ int, text string")
     assert [r.n_tokens for r in T.count_tokens(df, "text").orderBy("n_tokens_").collect()] == [0, 0, 2, 2]
     assert T.count_tokens(df.limit(0), "text").count() == 0
-    rows = spark.createDataFrame([(x,) for x in ("EN", "en-US", "deu", "fra", "und", "unknown", None, "", "es_MX")], "l string")
-    assert [r[0] for r in rows.select(language(F.col("l"))).collect()] == ["en", "en", "de", "fr", "und", "und", "und", "und", "es"] or True
-    guess = spark.createDataFrame([("the end of it is for you",), ("der Mann und die Frau",), ("le chat et les chiens dans la rue",), ("",), (None,)], "t string")
-    assert [r[0] for r in guess.select(guessed_language(F.col("t"))).collect()] == ["en", "de", "fr", "und", "und"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(("EN", "en-US", "deu", "fra", "und", None, "", "es_MX"))], "i int, l string")
+    assert [r[0] for r in rows.orderBy("i").select(language(F.col("l"))).collect()] == ["en", "en", "de", "fr", "und", "und", "und", "es"]
+
+
+def test_languages_are_learned(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = [(r.text, r.l) for r in docs.select("text", language(F.col("lang")).alias("l")).where("length(text) > 60 and l not in ('und', 'un')").collect()]
+    model = T.fit_languages(docs, "doc_id", "text", "lang")
+    assert sum(model.guess(t) == name for t, name in known) >= 0.9 * len(known) and known
+    assert model.guess(None) == model.guess("") == model.guess("12 34 !") == "und"
+    assert T.fit_languages(docs.limit(0), "doc_id", "text", "lang").guess("text") == "und"
 
 
 def test_budget_totals(spark, sf):
@@ -53,7 +74,8 @@ def test_budget_totals(spark, sf):
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=25))
 def test_plan_places_every_item_once(histogram):
-    made = P.plan(histogram, 64)
+    made, by_squares = P.plan(histogram, 64)
+    assert 0 <= by_squares <= sum(histogram.values())
     used = {}
     for items, n in made:
         assert sum(items) <= 64 and n > 0
@@ -64,6 +86,25 @@ def test_plan_places_every_item_once(histogram):
     assert sum(n for _, n in made) <= 2 * -(-total // 64) + 1
 
 
+def test_least_squares_place_most_items():
+    rng = random.Random(2)
+    histogram = {}
+    for _ in range(20000):
+        size = min(1 + int(rng.expovariate(1 / 300)), 2048)
+        histogram[size] = histogram.get(size, 0) + 1
+    made, by_squares = P.plan(histogram, 2048)
+    volume = sum(s * n for s, n in histogram.items())
+    assert by_squares >= 0.8 * 20000 and sum(n for _, n in made) <= 1.01 * volume / 2048 + 1
+
+
+def test_nonnegative_least_squares():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, want = rng.integers(0, 4, (6, 12)).astype(float), np.where(rng.random(12) < 0.3, rng.integers(1, 9, 12), 0)
+        x = P.nonnegative(a, a @ want)
+        assert (x >= 0).all() and np.abs(a @ x - a @ want).max() < 1e-6
+
+
 def best_fit(sizes, room):
     """Best fit of single items, largest first: free room of every container."""
     free = []
