@@ -67,29 +67,53 @@ def measure(df: DataFrame, text: str, out: str = "repeated_share", run: int = 5)
     return rows.mapInArrow(work, T.StructType([*rest, T.StructField(out, T.DoubleType())]))
 
 
-def thresholds(shares: DataFrame, by: list[str], value: str, low: float = 0.2, high: float = 0.4, default: float = 0.3, ranks: int = 200) -> DataFrame:
-    """One cut-off per group: the middle of the widest gap that the group's distribution leaves within ``low``..``high``.
+#: Texts that a group must hold, and that must lie above its gap, for the group to have a cut-off of its own; points read off a sketch.
+GROUP, ABOVE, POINTS = 200, 20, 400
 
-    The distribution is a quantile sketch (KLL), merged from partial sketches,
-    so a group may hold any part of the rows.  A group with nothing on both
-    sides of a gap gets ``default``.
+
+def thresholds(shares: DataFrame, by: list[str], value: str, default: float = 0.3, group: int = GROUP, above: int = ABOVE) -> DataFrame:
+    """One cut-off per group: the middle of the widest gap that its distribution leaves above its median.
+
+    The distributions are quantile sketches (KLL), merged from partial ones,
+    of every group, of the groups merged over the last label, and so on up to
+    all rows.  A group with fewer than ``group`` texts, or fewer than ``above``
+    over its gap, takes the cut-off of the next larger one; ``default`` holds
+    only where all rows together have no gap.
     """
-    steps = F.array(*[F.lit(i / ranks) for i in range(ranks + 1)])
-    sketch = shares.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value)).alias("_sketch"))
-    points = F.transform(F.kll_sketch_get_quantile_double("_sketch", steps), lambda q: F.least(F.greatest(q, F.lit(low)), F.lit(high)))
-    gaps = F.transform(F.slice("_points", 2, ranks), lambda q, i: F.struct((q - F.element_at("_points", i + 1)).alias("width"), ((q + F.element_at("_points", i + 1)) / 2).alias("middle")))
-    return (
-        sketch.withColumn("_points", points)
-        .withColumn("_widest", F.array_max(gaps))
-        .select(*by, F.when(F.col("_widest.width") > 0, F.col("_widest.middle")).otherwise(F.lit(default)).alias("threshold"))
-    )
+    keyed = shares.select(value, *by)
+    sketch = F.kll_sketch_agg_double(F.col(value)).alias("_sketch")
+    levels = []
+    fine = keyed.groupBy(*by).agg(sketch, F.count("*").alias("_n"))
+    for k in range(len(by), -1, -1):
+        some = fine.groupBy(*by[:k]).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"), F.sum("_n").alias("_n")) if k < len(by) else fine
+        points = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])))
+        gaps = F.transform(
+            F.slice("_points", POINTS // 2 + 1, POINTS // 2),
+            lambda q, i: F.struct((F.get("_points", i + POINTS // 2 + 1) - q).alias("width"), (F.lit(POINTS // 2 - 1) - i).alias("over"), ((F.get("_points", i + POINTS // 2 + 1) + q) / 2).alias("middle")),
+        )
+        made = some.withColumn("_points", points).withColumn("_gap", F.array_max(gaps))
+        enough = (F.col("_gap.width") > 0) & (F.col("_n") >= group) & ((F.col("_gap.over") + 1) * F.col("_n") / POINTS >= above)
+        own = F.when(enough if k else F.col("_gap.width") > 0, F.col("_gap.middle")).alias(f"_cut{k}")
+        levels.append((by[:k], made.select(*by[:k], own)))
+    out = levels[0][1]
+    for names, coarse in levels[1:-1]:
+        out = out.join(coarse, names, "left")
+    last = levels[-1][1].head()  # one number
+    cuts = [F.col(f"_cut{k}") for k in range(len(by), 0, -1)]
+    return out.select(*by, F.coalesce(*cuts, F.lit(last[0] if last and last[0] is not None else default)).alias("threshold"))
+
+
+#: Groups up to which their cut-offs are broadcast.
+FEW_GROUPS = 100_000
 
 
 def repetitive(df: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
     """(``key``, lang, source, repeated_share, threshold, is_repetitive) of every row; the measured shares are stored once."""
     rows = df.select(F.col(key).alias(key), F.col(text).alias("_text"), language(F.col(lang)).alias("lang"), F.coalesce(F.lower(F.trim(F.col(source))), F.lit("")).alias("source"))
     shares = cut(measure(rows, "_text"))
-    limits = thresholds(shares, ["lang", "source"], "repeated_share")
+    limits = cut(thresholds(shares, ["lang", "source"], "repeated_share"))
+    if limits.count() <= FEW_GROUPS:
+        limits = F.broadcast(limits)
     return shares.join(limits, ["lang", "source"]).withColumn("is_repetitive", F.col("repeated_share") >= F.col("threshold"))
 
 
