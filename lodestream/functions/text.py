@@ -74,6 +74,11 @@ def string_list(values: Column) -> Column:
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
 
 
+def one_or_none(value: Column) -> Column:
+    """A single text as a list: none for null and the empty text."""
+    return F.when(F.coalesce(value, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(value))
+
+
 def video_link(video: Column, start: Column) -> Column:
     """Watch URL of a bare video id, with the start second where there is one."""
     url = F.when(video.startswith("http"), video).otherwise(F.concat(F.lit("https://www.youtube.com/watch?v="), video))
@@ -94,11 +99,12 @@ def normal_url(url: Column, locale: str = "/en-us", host: str = "localhost") ->
 def labels(text: Column, vocabulary: dict[str, list[str]], default: str | None = None) -> Column:
     """Labels of which any signal occurs in the lower-cased text, in the order of the vocabulary; ``default`` if none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(_any(low, signals), F.lit(label)) for label, signals in vocabulary.items()]))
+    found = F.array_compact(F.array(*[F.when(any_of(low, signals), F.lit(label)) for label, signals in vocabulary.items()]))
     return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found) if default else found
 
 
-def _any(low: Column, signals: list[str]) -> Column:
+def any_of(low: Column, signals: list[str]) -> Column:
+    """Whether any of the signals occurs."""
     hit = F.lit(False)
     for s in signals:
         hit = hit | low.contains(s)
@@ -117,7 +123,7 @@ def route(question: Column, rules: list[tuple[str, list[str]]], default: str, pr
     low = F.lower(F.coalesce(question, F.lit("")))
     out = F.lit(None).cast("string")
     for name, keywords in reversed(rules):
-        out = F.when(_any(low, keywords), F.lit(name)).otherwise(out)
+        out = F.when(any_of(low, keywords), F.lit(name)).otherwise(out)
     out = F.coalesce(out, F.lit(default))
     return F.when(preferred.isin(*(valid or [n for n, _ in rules])), preferred).otherwise(out) if preferred is not None else out
 
@@ -131,7 +137,7 @@ HEDGES = [
 
 def confidence(n_citations: Column, top_score: Column, answer: Column) -> Column:
     """Confidence in an answer: 0.3 without citations, else weighted score, support, length and base less a hedging penalty, in 0.1..0.95."""
-    hedge = F.when(_any(F.lower(answer), HEDGES), 0.3).otherwise(0.0)
+    hedge = F.when(any_of(F.lower(answer), HEDGES), 0.3).otherwise(0.0)
     raw = top_score * 0.40 + F.least(n_citations / 5.0, F.lit(1.0)) * 0.25 + F.least(F.length(answer) / 200.0, F.lit(1.0)) * 0.20 + 0.15 - hedge
     return F.when(n_citations <= 0, 0.3).otherwise(F.least(F.greatest(raw, F.lit(0.1)), F.lit(0.95)))
 

@@ -160,14 +160,15 @@ def chunk_documents(df: DataFrame, url: str, text: str, most: int = 512, overlap
     return made.withColumns({"token_count": X.token_count(F.col("content")), "chunk_id": X.chunk_id(F.col("source_url"), F.col("chunk_index")), "fingerprint": F.sha2("content", 256)})
 
 
-def chunk_word_blocks(df: DataFrame, url: str, text: str, most: int = 512, overlap: int = 128) -> DataFrame:
-    """Chunks of unstructured text as exact blocks of ``most`` words, each after the first led by the overlap; no Python involved."""
-    w = df.select(F.col(url).cast("string").alias("source_url"), X.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+def chunk_word_blocks(df: DataFrame, url: str, text: str, most: int = 512, overlap: int = 128, keep: list[str] | None = None) -> DataFrame:
+    """Chunks of unstructured text as exact blocks of ``most`` words, each after the first led by the overlap; no Python involved.  ``keep`` names columns carried along."""
+    keep = keep or []
+    w = df.select(F.col(url).cast("string").alias("source_url"), *keep, X.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     blocks = w.withColumn("_n", F.ceil(F.size("_w") / F.lit(most)).cast("int"))
-    at = blocks.select("source_url", "_w", F.col("_n").alias("total_chunks"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_index"))
+    at = blocks.select("source_url", *keep, "_w", F.col("_n").alias("total_chunks"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_index"))
     body = F.array_join(F.slice("_w", F.col("chunk_index") * most + 1, F.lit(most)), " ")
     lead = F.array_join(F.slice("_w", F.col("chunk_index") * most + 1 - overlap, F.lit(overlap)), " ")
-    made = at.select("source_url", "chunk_index", "total_chunks", F.when(F.col("chunk_index") == 0, body).otherwise(F.concat(lead, F.lit("\n\n"), body)).alias("content"))
+    made = at.select("source_url", *keep, "chunk_index", "total_chunks", F.when(F.col("chunk_index") == 0, body).otherwise(F.concat(lead, F.lit("\n\n"), body)).alias("content"))
     return made.withColumns({"token_count": X.token_count(F.col("content")), "chunk_id": X.chunk_id(F.col("source_url"), F.col("chunk_index")), "fingerprint": F.sha2("content", 256)})
 
 

@@ -64,11 +64,9 @@ def chunk_word_blocks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def chunk_facets(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: documents to chunks to facet counts by source type."""
-    docs = table(spark, sf, "documents")
-    chunks = chunking.chunk_word_blocks(docs, "doc_id", "text").select(F.col("source_url").cast("bigint").alias("doc_id"), "token_count")
-    per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))
-    rows = per.join(docs.select("doc_id", F.coalesce(F.lower("source_type"), F.lit("unknown")).alias("source_type")), "doc_id")
-    return rows.groupBy("source_type").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_chunks"), F.sum("t").alias("n_tokens"))
+    docs = table(spark, sf, "documents").withColumn("source_type", F.coalesce(F.lower("source_type"), F.lit("unknown")))
+    chunks = chunking.chunk_word_blocks(docs, "doc_id", "text", keep=["source_type"])
+    return chunks.groupBy("source_type").agg(F.count_if(F.col("chunk_index") == 0).alias("n_documents"), F.count("*").alias("n_chunks"), F.sum("token_count").cast("bigint").alias("n_tokens"))
 
 
 @query(f"WITH c AS (SELECT url AS source_url, {TRIM.format('summary')} AS content FROM azure_updates) SELECT source_url, content, {TOKENS.format(WORDS.format('content'))} AS token_count, sha256(coalesce(source_url, '') || ':0') AS chunk_id, sha256(content) AS fingerprint FROM c WHERE content <> ''")
@@ -420,10 +418,10 @@ def incremental_mark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- retrieval ------------------------------------------------------------------------------
-_TERMS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+TERMS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _BM25 = f"""
-WITH q AS (SELECT update_id AS q, unnest(list_distinct({_TERMS.format("title")})) AS term FROM azure_updates WHERE update_id % 100 = 0),
-d AS (SELECT doc_id AS d, {_TERMS.format("text")} AS t FROM documents),
+WITH q AS (SELECT update_id AS q, unnest(list_distinct({TERMS.format("title")})) AS term FROM azure_updates WHERE update_id % 100 = 0),
+d AS (SELECT doc_id AS d, {TERMS.format("text")} AS t FROM documents),
 s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM d WHERE len(t) > 0),
 p AS (SELECT d, len(t) AS l, unnest(t) AS term FROM d),
 tf AS (SELECT term, d, l, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
@@ -539,14 +537,26 @@ def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rates.tumbling(e, "ts", "1 hour", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+r AS (SELECT event_id, user_id, i, true AS allowed, us AS last, NULL::BIGINT AS before FROM e WHERE i = 1
+UNION ALL SELECT e.event_id, e.user_id, e.i, ok, CASE WHEN ok THEN us ELSE last END, CASE WHEN ok THEN last ELSE before END
+  FROM (SELECT e.*, r.last, r.before, coalesce(r.before <= e.us - 3600000000, true) OR r.last <= e.us - 3600000000 AS ok FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1) e)
+SELECT event_id, allowed FROM r"""
+)
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each event passes a limit of two an hour per user; denied events don't count."""
     e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return rates.rate_limited(e, ["user_id"], "ts", "event_id", 2, 3600.0).select("event_id", "allowed")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+r AS (SELECT event_id, user_id, event_type, i, false AS hit, us AS since FROM e WHERE i = 1
+UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.i, e.us < r.since + 21600000000, CASE WHEN e.us < r.since + 21600000000 THEN r.since ELSE e.us END
+  FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.event_type IS NOT DISTINCT FROM r.event_type AND e.i = r.i + 1)
+SELECT event_id, hit FROM r"""
+)
 def ttl_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and misses of a cache per user and type with a lifetime of six hours."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
@@ -596,9 +606,15 @@ def ext_revenue_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("r"), 2).alias("revenue"))
 
 
+def _more() -> None:
+    from . import search_queries, source_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _more()
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)

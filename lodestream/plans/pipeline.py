@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, index
+from ..operators.sink import IndexStore
 from ..session import cut, table
 from ..sources import providers
 
@@ -59,12 +60,16 @@ def chunk(documents: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, documents: DataFrame, root: str, existing: DataFrame | None = None, provider=providers.hashing_embedder) -> Run:  # noqa: ANN001
-    """One run: chunks, those new or changed against ``existing``, their vectors, the index after the upsert, and counters per source type.
+    """One run: chunks, those new or changed against ``existing`` (default: the index below ``root``), their vectors, the index after the upsert, and counters per source type.
 
-    The delta comes before the vectors, so unchanged chunks cost none; of
+    The index is written as the next version below ``root`` and readers are
+    pointed to it last, so runs on one root follow one another and a failed
+    one changes nothing.  The delta comes before the vectors, so unchanged chunks cost none; of
     chunks with one id the one with the greatest fingerprint is indexed.  A
     second run over the same documents indexes nothing.
     """
+    store = IndexStore(spark, f"{root}/index")
+    existing = store.current() if existing is None else existing
     chunks = cut(chunk(documents))
     once = index.latest(chunks, "chunk_id", ["fingerprint"])
     new = cut(index.delta(once, existing) if existing is not None else once)
@@ -72,8 +77,8 @@ def ingest(spark: SparkSession, documents: DataFrame, root: str, existing: DataF
     vectors = providers.embed_new(new, cache, "content", provider)
     made = vectors.select("chunk_id", "source_url", "source_type", "chunk_index", "content", "fingerprint", "embedding")
     after = index.upsert(existing, made, "chunk_id") if existing is not None else made
-    path = index.write_version(after, f"{root}/index", 1)
+    store.write(after)
     counts = chunks.groupBy("source_type").agg(F.count("*").alias("n_chunks"), F.countDistinct("source_url").alias("n_documents"))
     fresh = new.groupBy("source_type").agg(F.count("*").alias("n_indexed"))
     counters = counts.join(fresh, "source_type", "left").select("source_type", "n_documents", "n_chunks", F.coalesce("n_indexed", F.lit(0)).alias("n_indexed"))
-    return Run(counters, spark.read.parquet(path))
+    return Run(counters, store.current())
