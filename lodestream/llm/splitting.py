@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import type_names
+from .common import spread, type_names
 
 #: Boundary letters, strongest first: topic, paragraph, line, sentence, clause.
 STRENGTH = "tplsc"
@@ -112,7 +112,7 @@ def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = limits.where("_type = 'video-transcript'").withColumn("alias", F.lit("video-transcript"))
     videos = table(spark, sf_dir, "videos").select(F.lit("videos").alias("tab"), F.col("video_row").alias("rec_id"), "transcript_segments", F.lit("video-transcript").alias("alias"))
     videos = with_transcript(videos.join(one, "alias"), "transcript_segments", "_gap").select("tab", "rec_id", "_text", "_limit", "_overlap")
-    return split(posts.unionByName(videos), "_text", "_limit", "_overlap").select("tab", "rec_id", "pieces")
+    return split(spread(posts.unionByName(videos)), "_text", "_limit", "_overlap").select("tab", "rec_id", "pieces")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
