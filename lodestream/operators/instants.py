@@ -8,7 +8,9 @@ dictionary has not seen.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,10 @@ ENTRY = T.StructType(
 )
 
 
+#: Parts a raw text's rows are spread over when they meet the dictionary.
+SALTS = 8
+
+
 class TimestampDictionary:
     """Distinct timestamp texts with their instants, stored below ``root``."""
 
@@ -67,11 +73,22 @@ class TimestampDictionary:
         keys = keyed.select(*[F.col(v).alias(k) for k, v in names.items()]).where(~F.col("raw").startswith("\0")).distinct()
         if self.parts:
             keys = keys.join(self.entries().select("raw", "tz", "date_order"), ["raw", "tz", "date_order"], "left_anti")
-        part = f"{self.root.rstrip('/')}/part-{len(self.parts):06d}"
-        with_instants(keys.select("raw", "tz", "date_order"), "raw", "tz", "date_order").write.mode("overwrite").parquet(part)
-        self.parts.append(part)
-        book = self.entries().select(*[F.col(k).alias(v) for k, v in names.items()], F.col("utc_us").alias(out))
-        return keyed.join(book, list(names.values()), "left").drop(*names.values())
+        # parts have names of their own, so two writers never overwrite each other; what both parsed is met once below
+        part = f"{self.root.rstrip('/')}/part-{len(self.parts):06d}-{uuid.uuid4().hex[:8]}"
+        cores = self.spark.sparkContext.defaultParallelism
+        fresh, seen = keys.select("raw", "tz", "date_order").repartition(cores), Observation()
+        with_instants(fresh, "raw", "tz", "date_order").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(part)
+        if seen.get["n"]:
+            self.parts.append(part)
+        else:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(part)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        book = self.entries().groupBy("raw", "tz", "date_order").agg(F.min("utc_us").alias("utc_us"))
+        # a text held by many rows is spread over salts, and so are the dictionary's entries
+        salt = free_name(df, "_td_salt")
+        book = book.select(*[F.col(k).alias(v) for k, v in names.items()], F.col("utc_us").alias(out), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        keyed = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        return keyed.join(book, [*names.values(), salt], "left").drop(*names.values(), salt)
 
 
 def with_profile(df: DataFrame, profiles: DataFrame, tab: str, scope: str) -> DataFrame:

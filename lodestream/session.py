@@ -25,13 +25,16 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "lodestream")
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests on one
-    machine) a temporary folder is chosen and remembered in the session.
+    ``spark.checkpoint.dir`` names it; where that is unset on a local master
+    (tests on one machine) a temporary folder is chosen and remembered in the
+    session, and on a cluster this is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.lodestream.sharedDir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.lodestream.sharedDir", root)
     if spark.sparkContext.getCheckpointDir() is None:

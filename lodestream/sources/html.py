@@ -28,14 +28,25 @@ class Element:
         self.name, self.attrs, self.parent, self.items = name, attrs, parent, []
 
     def find(self, test) -> Iterator[Element]:  # noqa: ANN001
-        for c in self.items:
+        """Elements below that meet ``test``, in document order; of any depth."""
+        stack = list(reversed(self.items))
+        while stack:
+            c = stack.pop()
             if isinstance(c, Element):
                 if test(c):
                     yield c
-                yield from c.find(test)
+                stack.extend(reversed(c.items))
 
     def text(self) -> str:
-        return " ".join(" ".join(c.split()) if isinstance(c, str) else c.text() for c in self.items).strip()
+        """Words of all texts below, one blank between them."""
+        out, stack = [], list(reversed(self.items))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out += c.split()
+            else:
+                stack.extend(reversed(c.items))
+        return " ".join(out)
 
 
 class _Builder(HTMLParser):
@@ -130,36 +141,54 @@ def _noise(e: Element) -> bool:
     return e.name in NOISE_TAGS or e.attrs.get("id") in NOISE_IDS or bool(set(e.attrs.get("class", "").split()) & NOISE_CLASSES)
 
 
+#: Marks put around the text of an inline element.
+_MARKS = {"code": "`", "strong": "**", "b": "**", "em": "*", "i": "*"}
+_BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "blockquote", "main"}
+
+
+def _marked(name: str, inner: str) -> str:
+    """What an element makes of the markdown of its content."""
+    text = inner.strip()
+    if re.fullmatch("h[1-6]", name):
+        return f"\n\n{'#' * int(name[1])} {text}\n\n"
+    if name in _MARKS:
+        return f"{_MARKS[name]}{text}{_MARKS[name]}" if text else ""
+    if name == "li":
+        return f"\n- {text}"
+    if name in ("td", "th"):
+        return f" {text} |"
+    if name == "tr":
+        return f"\n|{inner.rstrip()}"
+    return f"\n\n{text}\n\n" if name in _BLOCKS else inner
+
+
 def markdown(e: Element) -> str:
-    """Markdown of an element: headings, paragraphs, lists, code, emphasis, tables; links become their text."""
-    def inner(node: Element) -> str:
-        return "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else one(c) for c in node.items)
-
-    def one(c: Element) -> str:
-        if _noise(c):
-            return ""
-        if re.fullmatch("h[1-6]", c.name):
-            return f"\n\n{'#' * int(c.name[1])} {inner(c).strip()}\n\n"
-        if c.name == "pre":
+    """Markdown of an element: headings, paragraphs, lists, code, emphasis, tables; links become their text.
+
+    Open elements lie on a stack with the texts gathered for them, so pages of any depth are written.
+    """
+    stack: list[tuple[str, Iterator, list[str]]] = [("", iter(e.items), [])]
+    while True:
+        name, rest, out = stack[-1]
+        c = next(rest, None)
+        if c is None:
+            stack.pop()
+            if not stack:
+                break
+            stack[-1][2].append(_marked(name, "".join(out)))
+        elif isinstance(c, str):
+            if name != "tr":
+                out.append(re.sub(r"\s+", " ", c))
+        elif _noise(c):
+            continue
+        elif c.name == "pre":
             raw = "".join(x if isinstance(x, str) else "".join(y for y in x.items if isinstance(y, str)) for x in c.items)
-            return f"\n\n```\n{raw.strip()}\n```\n\n"
-        if c.name == "br":
-            return "\n"
-        if c.name == "hr":
-            return "\n\n---\n\n"
-        wrap = {"code": "`", "strong": "**", "b": "**", "em": "*", "i": "*"}.get(c.name)
-        if wrap:
-            body = inner(c).strip()
-            return f"{wrap}{body}{wrap}" if body else ""
-        if c.name == "li":
-            return f"\n- {inner(c).strip()}"
-        if c.name == "tr":
-            return "\n| " + " | ".join(inner(x).strip() for x in c.items if isinstance(x, Element)) + " |"
-        if c.name in ("p", "div", "section", "article", "ul", "ol", "table", "blockquote", "main"):
-            return f"\n\n{inner(c).strip()}\n\n"
-        return inner(c)
-
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n(?: +(?=\n))?", "\n", inner(e))).strip()
+            out.append(f"\n\n```\n{raw.strip()}\n```\n\n")
+        elif c.name in ("br", "hr"):
+            out.append("\n" if c.name == "br" else "\n\n---\n\n")
+        else:
+            stack.append((c.name, iter(c.items), []))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n(?: +(?=\n))?", "\n", "".join(out))).strip()
 
 
 def body(root: Element) -> str:

@@ -59,27 +59,51 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float] |
     return embed
 
 
-def embed_new(chunks: DataFrame, cache: DataFrame | None, text: str, provider: Callable[[], Callable], batch: int = 16, budget: int = 8191 * 4) -> DataFrame:
+def embed_batch(embed: Callable, texts: list[str], attempts: int = 6, base: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> list:
+    """Vectors of one batch; a failed call is repeated after 1, 2, 4, ... seconds, and after the last attempt all are null."""
+    for attempt in range(attempts):
+        try:
+            return list(embed(texts))
+        except Exception:  # noqa: BLE001  a failed batch is null, not fatal
+            if attempt + 1 < attempts:
+                sleep(min(base * 2**attempt, most))
+    return [None] * len(texts)
+
+
+def averaged(parts: list, sizes: list[int]) -> list[float] | None:
+    """Mean of the parts' vectors, weighted by their sizes, of unit length; null if a part has none."""
+    if not parts or any(p is None for p in parts):
+        return None
+    v = np.average(np.array(parts, np.float64), axis=0, weights=sizes)
+    n = np.linalg.norm(v)
+    return (v / n).tolist() if n else None
+
+
+def embed_new(chunks: DataFrame, cache: DataFrame | None, text: str, provider: Callable[[], Callable], batch: int = 16, budget: int = 8191 * 4, cut: bool = False, attempts: int = 1) -> DataFrame:
     """``chunks`` with ``content_hash``, ``embedding`` and ``truncated``; only contents the cache lacks are embedded, each once.
 
-    Texts beyond ``budget`` characters are embedded cut off; a failing batch
-    gives null vectors.  Null texts have no vector.
+    Texts beyond ``budget`` characters are embedded in parts of that size, whose
+    vectors are averaged; with ``cut`` only their first part is, and
+    ``truncated`` tells it.  A batch that fails ``attempts`` times gives null
+    vectors.  Null texts have no vector.
     """
-    rows = chunks.withColumns({"content_hash": F.sha2(text, 256), "truncated": F.coalesce(F.length(text) > budget, F.lit(False))})
-    todo = rows.where(F.col(text).isNotNull()).groupBy("content_hash").agg(F.min(F.substring(text, 1, budget)).alias("_t"))
+    long = F.coalesce(F.length(text) > budget, F.lit(False))
+    rows = chunks.withColumns({"content_hash": F.sha2(text, 256), "truncated": long & F.lit(cut)})
+    todo = rows.where(F.col(text).isNotNull()).groupBy("content_hash").agg(F.min(F.substring(text, 1, budget) if cut else F.col(text)).alias("_t"))
     if cache is not None:
         todo = todo.join(cache.select("content_hash"), "content_hash", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = provider()
         for b in batches:
-            out: list = []
-            for i in range(0, len(b), batch):
-                some = b["_t"].iloc[i : i + batch].tolist()
-                try:
-                    out += embed(some)
-                except Exception:  # noqa: BLE001  a failed batch is null, not fatal
-                    out += [None] * len(some)
+            parts = [[t[i : i + budget] for i in range(0, max(len(t), 1), budget)] for t in b["_t"]]
+            flat = [p for some in parts for p in some]
+            made = [v for i in range(0, len(flat), batch) for v in embed_batch(embed, flat[i : i + batch], attempts)]
+            out, at = [], 0
+            for some in parts:
+                own = made[at : at + len(some)]
+                out.append(own[0] if len(some) == 1 else averaged(own, [len(p) for p in some]))
+                at += len(some)
             yield pd.DataFrame({"content_hash": b["content_hash"], "embedding": out})
 
     made = todo.mapInPandas(run, "content_hash string, embedding array<float>")
