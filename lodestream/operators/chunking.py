@@ -142,21 +142,30 @@ def document_chunks(text: str, most: int, overlap: int) -> list[tuple[str, str]]
     return [(h, t.strip()) for h, t in with_overlap(groups, overlap)]
 
 
-def chunk_documents(df: DataFrame, url: str, text: str, most: int = 512, overlap: int = 128) -> DataFrame:
+def chunk_documents(df: DataFrame, url: str, text: str, most: int = 512, overlap: int = 128, errors: bool = False, cutter=document_chunks) -> DataFrame:  # noqa: ANN001
     """One row per chunk: source_url, chunk_index, total_chunks, heading_path, content, token_count, chunk_id, fingerprint.
 
     Null and blank texts have no chunks; a repeated row repeats its chunks; a
-    null url counts as empty in the id.
+    null url counts as empty in the id.  A document that ``cutter`` fails on
+    stops no other: with ``errors`` it gives one row of index -1 whose
+    ``error`` tells why (null in all other rows), else it gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(u, i, len(c), h, t) for u, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in [document_chunks(body or "", most, overlap)] for i, (h, t) in enumerate(c)]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["source_url", "chunk_index", "total_chunks", "heading_path", "content"])
-
-    made = df.select(F.col(url).cast("string"), text).mapInArrow(run, "source_url string, chunk_index int, total_chunks int, heading_path string, content string")
+            rows: list[tuple] = []
+            for u, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    cut = cutter(body or "", most, overlap)
+                    rows += [(u, i, len(cut), h, t, None) for i, (h, t) in enumerate(cut)]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((u, -1, 0, None, None, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["source_url", "chunk_index", "total_chunks", "heading_path", "content", "error"])
+
+    made = df.select(F.col(url).cast("string"), text).mapInArrow(run, "source_url string, chunk_index int, total_chunks int, heading_path string, content string, error string")
+    made = made if errors else made.where("error is null").drop("error")
     return made.withColumns({"token_count": X.token_count(F.col("content")), "chunk_id": X.chunk_id(F.col("source_url"), F.col("chunk_index")), "fingerprint": F.sha2("content", 256)})
 
 
@@ -223,10 +232,10 @@ def group_transcripts(df: DataFrame, key: str, title: str, segments: str, most:
     return grouped.select(key, F.col("g").alias("chunk_index"), F.col("first.s").alias("start_time"), F.col("last.e").alias("end_time"), F.concat(head, F.array_join(F.col("parts.text"), " ")).alias("content"))
 
 
-def plain_transcript(text: str, title: str, most: int = 512) -> list[str]:
-    """Chunks of a transcript without segments: paragraphs up to the size, each led by the title."""
+def plain_transcript(text: str, most: int = 512, overlap: int = 0) -> list[tuple[str, str]]:
+    """("", content) of the chunks of a transcript without segments: paragraphs up to the size, longer ones by sentence."""
     fill = _Filler(most, "\n\n")
-    for para in text.split("\n\n"):
+    for para in (text or "").split("\n\n"):
         if para := para.strip():
             size = n_tokens(para)
             if size > most:
@@ -235,7 +244,16 @@ def plain_transcript(text: str, title: str, most: int = 512) -> list[str]:
             else:
                 fill.add(para, size)
     fill.close()
-    return [f"{title}\n\n{g}" for g in fill.groups]
+    return [("", g) for g in fill.groups]
+
+
+def chunk_plain_transcripts(df: DataFrame, url: str, title: str, text: str, most: int = 512, errors: bool = False) -> DataFrame:
+    """Chunks of transcripts without segments, each led by the title (a null title counts as empty); otherwise as ``chunk_documents``."""
+    key = F.to_json(F.struct(F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"), F.coalesce(F.col(title), F.lit("")).alias("t")))
+    made = chunk_documents(df.select(key.alias("k"), F.col(text).alias("x")), "k", "x", most, 0, errors, plain_transcript)
+    told = F.from_json("source_url", "u string, t string")
+    made = made.withColumns({"source_url": told["u"], "content": F.concat(told["t"], F.lit("\n\n"), F.col("content"))})
+    return made.withColumns({"token_count": X.token_count(F.col("content")), "chunk_id": X.chunk_id(F.col("source_url"), F.col("chunk_index")), "fingerprint": F.sha2("content", 256)})
 
 
 def parents_and_children(df: DataFrame, key: str, text: str, parent: int = 1024, child: int = 256) -> DataFrame:

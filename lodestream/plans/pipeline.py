@@ -39,8 +39,9 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk(documents: DataFrame) -> DataFrame:
     """Chunks of all documents by the strategy of their type: source_url, source_type, content, chunk_index, chunk_id, fingerprint.
 
-    Transcripts with segments go by silence and size, those without as
-    documents.  The source type travels inside the url column, so that chunkers
+    Transcripts with segments go by silence and size, those without by
+    paragraph, led by their title.  A document that can't be cut stops no
+    other.  The source type travels inside the url column, so that chunkers
     need not know it.
     """
     pick = F.create_map(*[F.lit(x) for pair in STRATEGY.items() for x in pair])
@@ -48,10 +49,11 @@ def chunk(documents: DataFrame) -> DataFrame:
     timed = (how == "transcript") & F.coalesce(F.size("transcript_segments") > 0, F.lit(False))
     tagged = documents.withColumn("_u", F.concat_ws("\0", F.coalesce("source_type", F.lit("")), F.coalesce("url", F.lit(""))))
     whole = chunking.chunk_whole(tagged.where(how == "whole"), "_u", "content").withColumn("chunk_index", F.lit(0))
-    cut_up = chunking.chunk_documents(tagged.where((how != "whole") & ~timed), "_u", "content")
+    cut_up = chunking.chunk_documents(tagged.where(how == "document"), "_u", "content")
+    plain = chunking.chunk_plain_transcripts(tagged.where((how == "transcript") & ~timed), "_u", "title", "content")
     spoken = chunking.group_transcripts(tagged.where(timed), "_u", "title", "transcript_segments").withColumnRenamed("_u", "source_url")
     rows = None
-    for part in (whole, cut_up, spoken):
+    for part in (whole, cut_up, plain, spoken):
         part = part.select("source_url", "content", F.col("chunk_index").cast("int").alias("chunk_index"))
         rows = part if rows is None else rows.unionByName(part)
     url, kind = F.substring_index("source_url", "\0", -1), F.substring_index("source_url", "\0", 1)

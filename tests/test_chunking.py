@@ -62,8 +62,8 @@ def test_transcripts(spark):
 
 
 def test_plain_transcript():
-    assert C.plain_transcript("one two\n\nthree", "T") == ["T\n\none two\n\nthree"]
-    assert len(C.plain_transcript("\n\n".join(["w " * 300] * 3), "T")) == 3
+    assert C.plain_transcript("one two\n\nthree") == [("", "one two\n\nthree")] and C.plain_transcript(None) == []
+    assert len(C.plain_transcript("\n\n".join(["w " * 300] * 3))) == 3
 
 
 def test_updates_are_never_cut(spark):
@@ -97,3 +97,21 @@ def test_synonyms_and_globs(spark):
     df = spark.createDataFrame([(["ml", "x", "ai"], "a.b:c"), ([], "axb:c"), (None, None)], "t array<string>, k string")
     got = df.select(X.expand(F.col("t"), {"ml": ["machine learning", "ai"]}), X.matches_glob(F.col("k"), "a.*:?")).collect()
     assert [r[0] for r in got] == [["ml", "machine learning", "ai", "x"], [], None] and [r[1] for r in got] == [True, False, None]
+
+
+def test_one_bad_document_stops_no_other(spark):
+    def cutter(text, most, overlap):
+        if text == "bad":
+            raise ValueError("no")
+        return C.document_chunks(text, most, overlap)
+
+    df = spark.createDataFrame([("a", "fine text"), ("b", "bad"), ("c", None)], "url string, text string")
+    got = {r.source_url: (r.chunk_index, r.error) for r in C.chunk_documents(df, "url", "text", errors=True, cutter=cutter).collect()}
+    assert got == {"a": (0, None), "b": (-1, "ValueError: no")}
+    assert [r.source_url for r in C.chunk_documents(df, "url", "text", cutter=cutter).collect()] == ["a"]
+
+
+def test_plain_transcripts_are_led_by_their_title(spark):
+    df = spark.createDataFrame([("v", "T", "one two\n\nthree four"), ("w", None, "x"), ("n", "T", None)], "url string, title string, text string")
+    got = sorted((r.source_url, r.chunk_index, r.content) for r in C.chunk_plain_transcripts(df, "url", "title", "text", 3).collect())
+    assert got == [("v", 0, "T\n\none two"), ("v", 1, "T\n\nthree four"), ("w", 0, "\n\nx")]
