@@ -607,7 +607,7 @@ def ext_revenue_by_nation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _more() -> None:
-    from . import search_queries, source_queries  # noqa: F401
+    from . import search_queries, source_queries, state_queries  # noqa: F401
 
 
 def queries() -> dict:

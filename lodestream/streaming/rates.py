@@ -146,3 +146,33 @@ def rate_limited_stream(stream: DataFrame, key: str, ts: str, limit: int, window
         yield pd.DataFrame({key: [name[0]] * len(times), ts: times.to_numpy(), "allowed": flags})
 
     return stream.withWatermark(ts, f"{window} seconds").groupBy(key).applyInPandasWithState(each, f"{key} {kind}, {ts} timestamp, allowed boolean", "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_rules(df: DataFrame, keys: list[str], path: str, rules: list[tuple[str, int]], ts: str, order: str, window: float = 60.0) -> DataFrame:
+    """``df`` with ``rule``, ``allowed``, ``status`` and ``max_requests``: every event falls under the first rule whose prefix its path begins with.
+
+    A rule limits the events of a key by themselves; events under no rule are
+    allowed (rule and limit null).  Denied events have status 429, others 200.
+    """
+    picked = F.lit(None).cast("string")
+    for prefix, _ in reversed(rules):
+        picked = F.when(F.col(path).startswith(prefix), F.lit(prefix)).otherwise(picked)
+    rows = df.withColumn("rule", picked)
+    out = rows.where("rule is null").withColumns({"allowed": F.lit(True), "max_requests": F.lit(None).cast("int")})
+    for prefix, limit in rules:
+        some = rate_limited(rows.where(F.col("rule") == prefix), keys, ts, order, limit, window)
+        out = out.unionByName(some.withColumn("max_requests", F.lit(limit)))
+    return out.withColumn("status", F.when(F.col("allowed"), 200).otherwise(429))
+
+
+def halved(limits: dict[str, int], fixed: dict[str, int] | None = None) -> dict[str, int]:
+    """Limits of costly endpoints: half of the configured ones, one at least; ``fixed`` ones stay as they are."""
+    return {k: max(1, v // 2) for k, v in limits.items()} | (fixed or {})
+
+
+def cached_by_tier(df: DataFrame, keys: list[str], tier: str, lifetimes: dict[str, float], ts: str, order: str) -> DataFrame:
+    """``cached`` with the lifetime of each row's tier; rows of other tiers are never hits."""
+    out = df.where(~F.coalesce(F.col(tier).isin(list(lifetimes)), F.lit(False))).withColumn("hit", F.lit(False))
+    for name, seconds in lifetimes.items():
+        out = out.unionByName(cached(df.where(F.col(tier) == name), keys, ts, order, seconds))
+    return out

@@ -131,3 +131,12 @@ def test_providers(spark):
     assert again["a b"] == got["a b"] and again["c"] == got["c"]
     asked = providers.complete(spark.createDataFrame([("q",)], "p string"), "p", lambda: lambda t: t + "!")
     assert asked.head()["answer"] == "q!" and F is not None
+
+
+def test_rules_and_halved_limits(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    rows = [(1, "u", "/api/query", at(0)), (2, "u", "/api/query/x", at(1)), (3, "u", "/api/quiz", at(2)), (4, "u", "/other", at(3)), (5, "v", "/api/query", at(4)), (6, "u", None, at(5))]
+    df = spark.createDataFrame(rows, "id long, client string, path string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.id: (r.rule, r.status, r.max_requests) for r in rates.rate_rules(df, ["client"], "path", [("/api/query", 1), ("/api", 5)], "ts", "id").collect()}
+    assert got == {1: ("/api/query", 200, 1), 2: ("/api/query", 429, 1), 3: ("/api", 200, 5), 4: (None, 200, None), 5: ("/api/query", 200, 1), 6: (None, 200, None)}
+    assert rates.halved({"query": 9, "quiz": 1}, {"ingest": 2}) == {"query": 4, "quiz": 1, "ingest": 2}
