@@ -87,6 +87,9 @@ class WorkLedger:
                     state.setdefault(u, {"state": "pending", "token": 0, "until": 0.0})
                 elif e["op"] == "lease":
                     state[u] = {"state": "leased", "token": e["n"], "until": e["until"]}
+                elif e["op"] == "renew":
+                    if state[u]["state"] == "leased" and state[u]["token"] == e["token"]:
+                        state[u]["until"] = e["until"]
                 elif e["op"] == "done":
                     state[u] = {"state": "done", "token": e["token"], "until": 0.0, "path": e["path"]}
         return state
@@ -124,6 +127,19 @@ class WorkLedger:
         made = self._append(build)
         return Lease(made[0], tuple(made[1]["units"]), worker, made[1]["until"]) if made else None
 
+    def renew(self, lease: Lease) -> Lease:
+        """Prolong a lease from now on, for work that takes longer than it lasts; raises StaleLease if any unit was leased again or done."""
+
+        def build(log: list[dict], n: int) -> dict | None:
+            state = self._fold(log)
+            late = [u for u in lease.units if state[u]["token"] != lease.token or state[u]["state"] != "leased"]
+            if late:
+                raise StaleLease(f"token {lease.token} no longer holds {late[0]}")
+            return {"op": "renew", "units": list(lease.units), "token": lease.token, "until": self.clock() + self.lease_seconds}
+
+        made = self._append(build)
+        return Lease(lease.token, lease.units, lease.worker, made[1]["until"])
+
     def items(self, lease: Lease) -> DataFrame:
         """The items of the leased units, with their column ``unit``."""
         paths = [f"{self.root}/items/{u.rsplit('-', 1)[0]}" for u in lease.units]

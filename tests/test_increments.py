@@ -82,3 +82,19 @@ def test_ledger_empty(spark):
     ledger.enqueue(spark.range(0).withColumn("tab", F.lit("t")), ["tab", "id"], "g")
     assert ledger.lease("w") is None and ledger.results() is None
     assert datetime.now(UTC)
+
+
+def test_a_renewed_lease_is_kept(spark):
+    now = [0.0]
+    ledger = WorkLedger(spark, fresh_dir(spark, "led"), units=2, lease_seconds=10, clock=lambda: now[0])
+    ledger.enqueue(spark.range(20), ["id"], "g")
+    lease = ledger.lease("slow")
+    now[0] = 8
+    lease = ledger.renew(lease)
+    now[0] = 15
+    assert ledger.lease("other") is None and lease.until == 18
+    now[0] = 19
+    taken = ledger.lease("other")
+    assert taken.units == lease.units
+    with pytest.raises(StaleLease):
+        ledger.renew(lease)
