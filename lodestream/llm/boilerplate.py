@@ -161,9 +161,9 @@ def prose_words(df: DataFrame, body: str, title: str) -> DataFrame:
 
 def page_nodes(df: DataFrame, body: str, title: str, keys: list[str]) -> DataFrame:
     """``keys``, a number of the page by its title (its body, where it has none), and the nodes of every page; null and blank bodies have none."""
-    taken = [r[0] for r in prose_words(df, body, title).select(F.crc32(F.col("word").cast("binary")).bitwiseAND(SLOTS - 1).cast("int").alias("s")).distinct().collect()]  # SLOTS at most
+    places = prose_words(df, body, title).select(F.crc32(F.col("word").cast("binary")).bitwiseAND(SLOTS - 1).cast("int").alias("s")).distinct()
     bits = np.zeros(SLOTS, bool)
-    bits[taken] = True
+    bits[places.toArrow().column(0).to_numpy()] = True  # SLOTS numbers at most
     known = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
     rows = spread(df.select(*keys, body, title))
     names = [*keys, "_page", "nodes"]
