@@ -207,9 +207,12 @@ def parse_pages(df: DataFrame, url: str, html: str, least: int = 50) -> DataFram
         for b in batches:
             out = []
             for u, h in zip(b[url], b[html]):
-                root = tree(h or "")
-                row = (u, title(root), None, published(root), breadcrumb(root), links(root, u or ""))
-                text = body(root)
+                try:
+                    root = tree(h or "")
+                    row = (u, title(root), None, published(root), breadcrumb(root), links(root, u or ""))
+                    text = body(root)
+                except Exception:  # noqa: BLE001  a page that can't be read has no row and stops no other
+                    continue
                 if len(text) >= least:
                     out.append((*row[:2], text, *row[3:]))
             yield pd.DataFrame(out, columns=["url", "title", "body", "published", "breadcrumb", "links"])
@@ -246,3 +249,37 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files as rows; malformed items are kept out, missing elements are null."""
     schema = "title string, link string, description string, pubDate string, category array<string>, guid string"
     return spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(schema).load(path)
+
+
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files in the columns of ``read_feed``; the link is that of the alternate page, else the first one, the date the publication, else the update."""
+    link = "link array<struct<_href:string,_rel:string>>"
+    text = "struct<_VALUE:string,_type:string>"
+    schema = f"title {text}, {link}, summary {text}, content {text}, published string, updated string, category array<struct<_term:string>>, id string"
+    rows = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(schema.replace("link array", "`link` array")).load(path)
+    pages = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    href = F.coalesce(F.get(pages, 0)["_href"], F.get("link", 0)["_href"])
+    terms = F.transform("category", lambda c: c["_term"])
+    return rows.select(F.col("title._VALUE").alias("title"), href.alias("link"), F.coalesce("summary._VALUE", "content._VALUE").alias("description"), F.coalesce("published", "updated").alias("pubDate"), terms.alias("category"), F.col("id").alias("guid"))
+
+
+def outbound(pages: DataFrame, hosts: list[str], prefixes: list[str], locale: str | None = None) -> DataFrame:
+    """``pages`` (url, links) with only those links that lie on one of ``hosts`` below one of ``prefixes``, each once, in order.
+
+    With ``locale`` (such as ``/en-us``) a link of any two-part locale, or of
+    none, is written with that one first, so that translations meet.
+    """
+    def one(u):  # noqa: ANN001, ANN202
+        return F.regexp_replace(u, r"^(https?://[^/]+)(?:/[a-zA-Z]{2}-[a-zA-Z]{2}(?=/|$))?", F.concat(F.lit("$1"), F.lit(locale))) if locale else u
+
+    host = lambda u: F.lower(F.regexp_extract(u, r"^https?://([^/:?#]+)", 1))
+    path = lambda u: F.regexp_extract(u, r"^https?://[^/]+([^?#]*)", 1)
+
+    def inside(u):  # noqa: ANN001, ANN202
+        hit = F.lit(False)
+        for p in prefixes:
+            hit = hit | path(u).startswith(p)
+        return host(u).isin([h.lower() for h in hosts]) & hit
+
+    kept = F.array_distinct(F.filter(F.transform("links", one), inside))
+    return pages.withColumn("links", F.coalesce(kept, F.array().cast("array<string>")))

@@ -140,3 +140,21 @@ def test_rules_and_halved_limits(spark):
     got = {r.id: (r.rule, r.status, r.max_requests) for r in rates.rate_rules(df, ["client"], "path", [("/api/query", 1), ("/api", 5)], "ts", "id").collect()}
     assert got == {1: ("/api/query", 200, 1), 2: ("/api/query", 429, 1), 3: ("/api", 200, 5), 4: (None, 200, None), 5: ("/api/query", 200, 1), 6: (None, 200, None)}
     assert rates.halved({"query": 9, "quiz": 1}, {"ingest": 2}) == {"query": 4, "quiz": 1, "ingest": 2}
+
+
+def test_atom_and_outbound_links(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        "<feed><entry><title type='text'>T</title><link rel='self' href='s'/><link rel='alternate' href='l'/><summary>S</summary><updated>2024-01-02T00:00:00Z</updated><category term='a'/><category term='b'/><id>1</id></entry>"
+        "<entry><title>U</title><content type='html'>C</content><published>2024-01-01T00:00:00Z</published><id>2</id></entry></feed>"
+    )
+    got = html.read_atom(spark, str(tmp_path / "a.xml")).orderBy("guid").collect()
+    assert [(r.title, r.link, r.description, r.pubDate, r.category) for r in got] == [("T", "l", "S", "2024-01-02T00:00:00Z", ["a", "b"]), ("U", None, "C", "2024-01-01T00:00:00Z", None)]
+    pages = spark.createDataFrame([("p", ["https://H.example/de-de/docs/a", "https://h.example/docs/a", "https://h.example/blog", "https://other/docs/a"]), ("q", None)], "url string, links array<string>")
+    links = {r.url: r.links for r in html.outbound(pages, ["h.example"], ["/en-us/docs"], "/en-us").collect()}
+    assert [u.lower() for u in links["p"]][:1] == ["https://h.example/en-us/docs/a"] and all("/en-us/docs" in u for u in links["p"]) and links["q"] == []
+
+
+def test_pages_of_any_depth(spark):
+    deep = "<main>" + "<div>" * 3000 + "<h1>Head</h1><p>" + "Words of it. " * 10 + "</p>" + "</div>" * 3000 + "</main>"
+    got = html.parse_pages(spark.createDataFrame([("u", deep)], "url string, html string"), "url", "html").collect()
+    assert len(got) == 1 and got[0].title == "Head" and got[0].body.startswith("Words of it.")
