@@ -5,6 +5,7 @@ import pytest
 
 from lodestream.operators import retrieval
 from lodestream.plans import catalog
+from lodestream.session import table
 
 
 def tables(spark, seed, repeated):
@@ -51,3 +52,10 @@ def test_pairs_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert sum(n for s, n in written().items() if s not in before) < 6000
+
+
+def test_every_update_has_its_prompt(spark, sf):
+    """Not only every hundredth title is a question."""
+    got = {r.update_id for r in catalog.queries()["grounded_prompts"](spark, sf).collect()}
+    titled = {r.update_id for r in table(spark, sf, "azure_updates").where(r"title rlike '[a-z]'").collect()}
+    assert len(got) > len(titled) / 2 and any(i % 100 for i in got) and "% 100" not in catalog.oracle_sql()["grounded_prompts"]
