@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from lodestream.operators import retrieval
@@ -25,6 +26,7 @@ def test_best_as_in_sql(spark, monkeypatch, seed, repeated, small):
     if small:
         monkeypatch.setattr(retrieval, "ASKED", 7)
         monkeypatch.setattr(retrieval, "POSTED", 60)
+        monkeypatch.setattr(retrieval, "FEW", 1)
     docs, asked = tables(spark, seed, repeated)
     with duckdb.connect() as c:
         c.register("documents", docs.toArrow())
@@ -34,6 +36,26 @@ def test_best_as_in_sql(spark, monkeypatch, seed, repeated, small):
     assert want and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("depth", [2, 24])
+def test_bounds_drop_nothing(monkeypatch, depth):
+    """The best of a block, with shared sums, against all scores."""
+    monkeypatch.setattr(retrieval, "DEPTH", depth)
+    rng = np.random.default_rng(depth)
+    n, width, k = 3000, 40, 3
+    weight = np.where(rng.random((n, width)) < rng.choice([0.004, 0.05, 0.4], width), np.round(rng.random((n, width)) * 9, 1) + 0.1, 0.0)
+    weight[:, 7] = 0
+    owner, term = np.nonzero(weight)
+    lists = sorted([*(sorted(rng.choice(width, rng.integers(1, 9)).tolist()) for _ in range(200)), [7], [0, 1, 2, 3, 4], [0, 1, 2, 3, 5], [0, 1, 2], [1, 1]])
+    got = {}
+    for who, docs, scores in retrieval.Postings(n, owner, term, weight[owner, term], width, k).best(map(np.array, lists)):
+        for i, d, s in zip(who.tolist(), docs.tolist(), scores.tolist()):
+            got.setdefault(i, []).append((d, s))
+    for i, wanted in enumerate(lists):
+        score = np.floor(weight[:, wanted].sum(axis=1) * 1e6 + 0.5) / 1e6
+        by = [d for d in np.lexsort((np.arange(n), -score))[:k].tolist() if score[d] > 0]
+        assert [d for d, _ in got.get(i, [])] == by and np.allclose([s for _, s in got.get(i, [])], score[by])
+
+
 def test_pairs_are_not_shuffled(spark):
     """Questions that share a word with every document meet them within tasks (before, all 12,000 pairs were shuffled)."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
