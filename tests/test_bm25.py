@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestream.operators import retrieval
+from lodestream.operators import retrieval, search
 from lodestream.plans import catalog
 from lodestream.session import table
 
@@ -56,24 +56,40 @@ def test_bounds_drop_nothing(monkeypatch, depth):
         assert [d for d, _ in got.get(i, [])] == by and np.allclose([s for _, s in got.get(i, [])], score[by])
 
 
-def test_pairs_are_not_shuffled(spark):
-    """Questions that share a word with every document meet them within tasks (before, all 12,000 pairs were shuffled)."""
+def shuffled(spark, run):
+    """Records that ``run`` writes to shuffles when no table is small enough to be broadcast."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
 
     def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         seq = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
         return {s.stageId(): s.shuffleWriteRecords() for s in map(seq.apply, range(seq.size()))}
 
     before = set(written())
-    docs = spark.range(300).selectExpr("id", "concat('all w', id % 7, ' v', id) AS t")
-    asked = spark.range(40).selectExpr("id AS q", "concat('all w', id % 7, ' u', id) AS s")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        assert len(retrieval.bm25(docs, "id", "t", asked, "q", "s", 3).collect()) == 120
+        run()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    assert sum(n for s, n in written().items() if s not in before) < 6000
+    return sum(n for s, n in written().items() if s not in before)
+
+
+def alike(spark):
+    """300 documents and 40 questions that share a word."""
+    docs = spark.range(300).selectExpr("id", "concat('all w', id % 7, ' v', id) AS t", "'t' AS title", "concat('u', id) AS url")
+    return docs, spark.range(40).selectExpr("id AS q", "concat('all w', id % 7, ' u', id) AS s")
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Questions that share a word with every document meet them within tasks (before, all 12,000 pairs were shuffled)."""
+    docs, asked = alike(spark)
+    assert shuffled(spark, lambda: retrieval.bm25(docs, "id", "t", asked, "q", "s", 3).collect()) < 6000
+
+
+def test_answers_shuffle_no_pairs(spark):
+    docs, asked = alike(spark)
+    complete = lambda p: p.selectExpr("cache_key", "prompt AS answer")
+    assert shuffled(spark, lambda: search.answers(asked, "q", "s", docs, "id", "title", "url", "t", [], "any", complete).collect()) < 6000
 
 
 def test_every_update_has_its_prompt(spark, sf):
