@@ -92,6 +92,13 @@ def test_answers_shuffle_no_pairs(spark):
     assert shuffled(spark, lambda: search.answers(asked, "q", "s", docs, "id", "title", "url", "t", [], "any", complete).collect()) < 6000
 
 
+def test_fused_ranks_shuffle_no_pairs(spark):
+    docs, asked = alike(spark)
+    other = spark.sql("SELECT 1L AS q, 1L AS d, 1 AS rank")
+    text = lambda: retrieval.bm25(docs, "id", "t", asked, "q", "s").withColumnRenamed("id", "d")
+    assert shuffled(spark, lambda: retrieval.fuse(text(), other).collect()) < 6000
+
+
 def test_every_update_has_its_prompt(spark, sf):
     """Not only every hundredth title is a question."""
     got = {r.update_id for r in catalog.queries()["grounded_prompts"](spark, sf).collect()}
